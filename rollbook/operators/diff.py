@@ -18,22 +18,32 @@ from rollbook.functions.calendar import month_ordinal
 
 
 def period_index(snapshot: DataFrame) -> DataFrame:
-    """(period, idx, n_periods) over the periods that exist. One row per calendar period."""
+    """(period, idx, prev_period, n_periods) over the periods that exist.
+
+    One row per calendar period, so the windows over the whole of it stay small.
+    """
     periods = snapshot.select("period").distinct()
     return periods.select(
         "period",
         F.row_number().over(Window.orderBy("period")).cast("long").alias("idx"),
+        F.lag("period").over(Window.orderBy("period")).alias("prev_period"),
         F.count("*").over(Window.partitionBy()).alias("n_periods"),
     )
 
 
-def with_period_index(snapshot: DataFrame) -> DataFrame:
-    """Add idx and n_periods. The dimension is bounded by the calendar, so it is broadcast."""
-    return snapshot.join(F.broadcast(period_index(snapshot)), "period")
+def with_period_index(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """Add idx and n_periods. The dimension is bounded by the calendar, so it is broadcast.
+
+    Pass periods where they are known more cheaply than by a scan of the snapshot table,
+    for example from its partitions.
+    """
+    numbers = (periods or period_index(snapshot)).select("period", "idx", "n_periods")
+    return snapshot.join(F.broadcast(numbers), "period")
 
 
 def pair_changes(
     snapshot: DataFrame,
+    periods: DataFrame | None = None,
     owner_col: str = "owner",
     keep: Sequence[str] = (),
     baseline: bool = False,
@@ -45,7 +55,7 @@ def pair_changes(
     first period come along under idx 1.
     """
     sides = {"owner": F.col(owner_col), "status": F.col("status"), **{c: F.col(c) for c in keep}}
-    rows = with_period_index(snapshot).select(
+    rows = with_period_index(snapshot, periods).select(
         "key", "idx", "n_periods", *[c.alias(n) for n, c in sides.items()]
     )
     w = Window.partitionBy("key").orderBy("idx")
@@ -117,16 +127,15 @@ def changed_only(changes: DataFrame) -> DataFrame:
 
 def name_pairs(per_idx: DataFrame, periods: DataFrame) -> DataFrame:
     """Replace idx by prev_period, curr_period and the calendar months between them."""
-    curr = periods.select("idx", F.col("period").alias("curr_period"))
-    prev = periods.select((F.col("idx") + 1).alias("idx"), F.col("period").alias("prev_period"))
-    named = per_idx.join(F.broadcast(curr), "idx").join(F.broadcast(prev), "idx", "left")
+    names = periods.select("idx", F.col("period").alias("curr_period"), "prev_period")
+    named = per_idx.join(F.broadcast(names), "idx")
     covered = month_ordinal(F.col("curr_period")) - month_ordinal(F.col("prev_period"))
     return named.withColumn("months_covered", F.coalesce(covered, F.lit(0)).cast("long")).drop("idx")
 
 
-def pair_totals(snapshot: DataFrame) -> DataFrame:
+def pair_totals(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Event counts of every consecutive pair of periods."""
-    totals = pair_changes(snapshot).groupBy("idx").agg(
+    totals = pair_changes(snapshot, periods).groupBy("idx").agg(
         F.count_if(is_transfer()).alias("transfers"),
         F.count_if(is_landing()).alias("landings"),
         F.count_if(is_reactivation()).alias("reactivations"),
@@ -134,7 +143,7 @@ def pair_totals(snapshot: DataFrame) -> DataFrame:
         F.count_if(is_disappeared()).alias("disappeared"),
         F.count_if(is_unchanged()).alias("unchanged"),
     )
-    return name_pairs(totals, period_index(snapshot))
+    return name_pairs(totals, periods or period_index(snapshot))
 
 
 def event_totals(prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -194,11 +203,11 @@ def fate_breakdown(fate: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def code_level_totals(snapshot: DataFrame) -> DataFrame:
+def code_level_totals(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Event totals at the grain of the full code: any change of code is a transfer, but a
     landing also needs another owner."""
     held = snapshot.withColumn("holder", F.col("owner"))
-    moves = pair_changes(held, owner_col="sub_owner", keep=("holder",))
+    moves = pair_changes(held, periods, owner_col="sub_owner", keep=("holder",))
     landing = is_landing() & (F.col("prev_holder") != F.col("holder"))
     same = F.col("prev_owner") == F.col("owner")
     totals = moves.groupBy("idx").agg(
@@ -210,20 +219,20 @@ def code_level_totals(snapshot: DataFrame) -> DataFrame:
         F.count_if(same & (F.col("prev_status") != F.col("status"))).alias("status_changed"),
         F.count_if(is_unchanged()).alias("unchanged"),
     )
-    return name_pairs(totals, period_index(snapshot))
+    return name_pairs(totals, periods or period_index(snapshot))
 
 
-def code_level_status_pairs(snapshot: DataFrame) -> DataFrame:
+def code_level_status_pairs(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Status transitions of keys that kept their full code."""
-    moves = pair_changes(snapshot, owner_col="sub_owner")
+    moves = pair_changes(snapshot, periods, owner_col="sub_owner")
     kept = (F.col("prev_owner") == F.col("owner")) & (F.col("prev_status") != F.col("status"))
     return moves.where(kept).groupBy("prev_status", "status").agg(F.count("*").alias("n"))
 
 
-def code_level_owner_flows(snapshot: DataFrame) -> DataFrame:
+def code_level_owner_flows(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Acquired, harvested and lost keys per owner and pair, counted on changes of full code."""
     held = snapshot.withColumn("holder", F.col("owner"))
-    moves = pair_changes(held, owner_col="sub_owner", keep=("holder",))
+    moves = pair_changes(held, periods, owner_col="sub_owner", keep=("holder",))
     harvested = is_landing() & (F.col("prev_holder") != F.col("holder"))
     took = F.coalesce(is_transfer(), F.lit(True)) & F.col("owner").isNotNull()
     left = F.coalesce(is_transfer(), F.lit(True)) & F.col("prev_owner").isNotNull()

@@ -22,10 +22,15 @@ def edge_type() -> Column:
     )
 
 
-def flow_edges(snapshot: DataFrame) -> DataFrame:
+def _named(per_idx: DataFrame, periods: DataFrame) -> DataFrame:
+    names = periods.select("idx", F.col("period").alias("curr_period"))
+    return per_idx.join(F.broadcast(names), "idx").drop("idx")
+
+
+def flow_edges(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Counted edges per period. Keys that changed in no named way are left out."""
     named = (
-        diff.changed_only(diff.pair_changes(snapshot))
+        diff.changed_only(diff.pair_changes(snapshot, periods))
         .withColumn("edge_type", edge_type())
         .where(F.col("edge_type").isNotNull())
     )
@@ -43,14 +48,13 @@ def flow_edges(snapshot: DataFrame) -> DataFrame:
     edges = named.groupBy(
         "idx", from_node.alias("from_node"), to_node.alias("to_node"), "edge_type", former.alias("former_owner")
     ).agg(F.count("*").alias("n"))
-    periods = diff.period_index(snapshot).select("idx", F.col("period").alias("curr_period"))
-    return edges.join(F.broadcast(periods), "idx").drop("idx")
+    return _named(edges, periods or diff.period_index(snapshot))
 
 
-def partner_flows(snapshot: DataFrame) -> DataFrame:
+def partner_flows(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Transfers per period and directed pair of owners, and how many left the pool."""
     flows = (
-        diff.pair_changes(snapshot)
+        diff.pair_changes(snapshot, periods)
         .where(diff.is_transfer())
         .groupBy("idx", F.col("prev_owner").alias("from_owner"), F.col("owner").alias("to_owner"))
         .agg(
@@ -58,8 +62,7 @@ def partner_flows(snapshot: DataFrame) -> DataFrame:
             F.count_if(F.col("prev_status") == DISCONN).alias("n_from_disconn"),
         )
     )
-    periods = diff.period_index(snapshot).select("idx", F.col("period").alias("curr_period"))
-    return flows.join(F.broadcast(periods), "idx").drop("idx")
+    return _named(flows, periods or diff.period_index(snapshot))
 
 
 def _side(edges: DataFrame, node: str, wanted: dict[str, str]) -> DataFrame:

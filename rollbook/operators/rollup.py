@@ -9,14 +9,14 @@ from rollbook.constants import OPPORTUNISM_MIN_ACQUIRED, SEGMENTS
 from rollbook.operators import diff
 
 
-def owner_period_rollup(snapshot: DataFrame) -> DataFrame:
+def owner_period_rollup(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Inventory and flows per owner and period.
 
     A change row counts for its new owner and for its former owner. Both views are
     unfolded from the same row, so one aggregation replaces two and their join, and owners
     that vanished come out with inventory 0. The first period has inventory only.
     """
-    moves = diff.pair_changes(snapshot, baseline=True)
+    moves = diff.pair_changes(snapshot, periods, baseline=True)
     later = F.col("idx") > 1
     measures = (
         "inventory",
@@ -49,7 +49,7 @@ def owner_period_rollup(snapshot: DataFrame) -> DataFrame:
     )
     flat = moves.select("idx", F.inline(F.filter(F.array(new_side, old_side), lambda x: x.isNotNull())))
     sums = flat.groupBy("owner", "idx").agg(*[F.sum(m).alias(m) for m in measures])
-    named = diff.name_pairs(sums, diff.period_index(snapshot))
+    named = diff.name_pairs(sums, periods or diff.period_index(snapshot))
     return named.select(
         "owner",
         F.col("curr_period").alias("period"),
@@ -66,9 +66,9 @@ def owner_period_rollup(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def latest_snapshot(snapshot: DataFrame) -> DataFrame:
+def latest_snapshot(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Rows of the greatest period. On a table partitioned by period this prunes the scan."""
-    newest = snapshot.select(F.max("period").alias("period"))
+    newest = (snapshot if periods is None else periods).select(F.max("period").alias("period"))
     return snapshot.join(F.broadcast(newest), "period", "left_semi")
 
 

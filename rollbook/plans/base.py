@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from rollbook.constants import SEGMENTS
 from rollbook.functions.calendar import quarter_of
+from rollbook.operators.diff import period_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,14 +75,14 @@ def snapshot(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool =
     ).alias("last")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("key"),
-        quarter_of(F.col("l_shipdate")).alias("period"),
+        (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("quarter"),
         "l_shipdate",
         "l_orderkey",
         "l_linenumber",
         "l_suppkey",
         "l_returnflag",
     )
-    last = lines.groupBy("key", "period").agg(newest).select("key", "period", "last.*")
+    last = lines.groupBy("key", "quarter").agg(newest).select("key", "last.*")
     nation = table(spark, sf_dir, "nation")  # 25 rows by definition of the schema
     region = table(spark, sf_dir, "region")  # 5 rows by definition of the schema
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
@@ -97,7 +98,7 @@ def snapshot(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool =
         holder = code
     cols = [
         "key",
-        "period",
+        quarter_of(F.col("l_shipdate")).alias("period"),
         F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3).alias("status"),
         holder.alias("owner"),
         F.concat(code, F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0")).alias("sub_owner"),
@@ -110,6 +111,16 @@ def snapshot(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool =
     return rows.select(*cols)
 
 
+def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(period, idx, n_periods), from the one column of the lines that holds the time."""
+    return period_index(table(spark, sf_dir, "lineitem").select(quarter_of(F.col("l_shipdate")).alias("period")))
+
+
+def dated(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The snapshot table and its periods."""
+    return snapshot(spark, sf_dir, owner, segment), periods(spark, sf_dir)
+
+
 _SNAP = """
 last_line AS (
   SELECT * FROM (

@@ -11,9 +11,9 @@ from rollbook.plans.base import (
     EDGES_SQL,
     GROUPS_SQL,
     ROLLUP_SQL,
+    dated,
     group_membership,
     query,
-    snapshot,
     with_snap,
 )
 
@@ -29,12 +29,12 @@ FROM chg JOIN per p USING (idx) JOIN per q ON q.idx = p.idx - 1 GROUP BY 1, 2, 3
 
 @query("pair_totals", with_snap(CHANGES_SQL, PAIR_SELECT, "R"))
 def _(spark, d):
-    return diff.pair_totals(snapshot(spark, d, "R"))
+    return diff.pair_totals(*dated(spark, d, "R"))
 
 
 @query("pair_totals_by_nation", with_snap(CHANGES_SQL, PAIR_SELECT, "N"))
 def _(spark, d):
-    return diff.pair_totals(snapshot(spark, d, "N"))
+    return diff.pair_totals(*dated(spark, d, "N"))
 
 
 @query(
@@ -47,7 +47,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rows = diff.with_period_index(snapshot(spark, d, "R"))
+    rows = diff.with_period_index(*dated(spark, d, "R"))
     both = diff.full_diff(diff.shifted(rows), rows.where(F.col("idx") > 1), ["key", "idx"])
     return both.groupBy("idx").agg(
         F.count("*").alias("n"),
@@ -66,7 +66,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rows = diff.with_period_index(snapshot(spark, d))
+    rows = diff.with_period_index(*dated(spark, d))
     moved = diff.transfers(diff.shifted(rows), rows, ["key", "idx"])
     return moved.groupBy("idx", F.col("prev_owner").alias("from_owner"), F.col("owner").alias("to_owner")).agg(
         F.count("*").alias("n")
@@ -82,7 +82,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rows = diff.with_period_index(snapshot(spark, d))
+    rows = diff.with_period_index(*dated(spark, d))
     new = diff.appeared(diff.shifted(rows), rows.where(F.col("idx") > 1), ["key", "idx"])
     return new.groupBy("idx", "owner").agg(F.count("*").alias("n"))
 
@@ -101,7 +101,7 @@ fate AS (SELECT a.idx + 1 AS idx, a.key, a.owner AS prev_owner, a.status AS prev
     ),
 )
 def _(spark, d):
-    rows = diff.with_period_index(snapshot(spark, d))
+    rows = diff.with_period_index(*dated(spark, d))
     fate = diff.owner_fate(diff.shifted(rows), rows, ["key", "idx"])
     return fate.groupBy("prev_owner", "prev_status").agg(
         F.count("*").alias("n"),
@@ -122,7 +122,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rows = diff.with_period_index(snapshot(spark, d, "R"))
+    rows = diff.with_period_index(*dated(spark, d, "R"))
     return diff.fate_breakdown(diff.owner_fate(diff.shifted(rows), rows, ["key", "idx"]), "idx")
 
 
@@ -136,18 +136,18 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    changed = diff.changed_only(diff.pair_changes(snapshot(spark, d, "R")))
+    changed = diff.changed_only(diff.pair_changes(*dated(spark, d, "R")))
     return changed.groupBy("idx").agg(F.count("*").alias("n"))
 
 
 @query("owner_period_rollup", with_snap(ROLLUP_SQL, "SELECT * FROM roll"))
 def _(spark, d):
-    return rollup.owner_period_rollup(snapshot(spark, d))
+    return rollup.owner_period_rollup(*dated(spark, d))
 
 
 @query("flow_edges", with_snap(EDGES_SQL, "SELECT * FROM edges", "R"))
 def _(spark, d):
-    return flows.flow_edges(snapshot(spark, d, "R"))
+    return flows.flow_edges(*dated(spark, d, "R"))
 
 
 @query(
@@ -160,7 +160,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return flows.partner_flows(snapshot(spark, d))
+    return flows.partner_flows(*dated(spark, d))
 
 
 TOTALS_SELECT = """SELECT owner,
@@ -177,12 +177,12 @@ FROM (SELECT to_node AS owner, 'in' AS side, edge_type, n FROM edges
 
 @query("flow_totals", with_snap(EDGES_SQL, TOTALS_SELECT))
 def _(spark, d):
-    return flows.flow_totals(flows.flow_edges(snapshot(spark, d)))
+    return flows.flow_totals(flows.flow_edges(*dated(spark, d)))
 
 
 @query("flow_totals_join", with_snap(EDGES_SQL, TOTALS_SELECT, "R"))
 def _(spark, d):
-    return flows.flow_totals_join(flows.flow_edges(snapshot(spark, d, "R")))
+    return flows.flow_totals_join(flows.flow_edges(*dated(spark, d, "R")))
 
 
 @query(
@@ -190,7 +190,7 @@ def _(spark, d):
     with_snap(EDGES_SQL, "SELECT from_node AS owner FROM edges UNION SELECT to_node FROM edges", "R"),
 )
 def _(spark, d):
-    return flows.node_union(flows.flow_edges(snapshot(spark, d, "R")))
+    return flows.node_union(flows.flow_edges(*dated(spark, d, "R")))
 
 
 DIRECTIONS_SQL = """,
@@ -201,7 +201,7 @@ dirs AS (SELECT direction, owner, partner, CAST(sum(n) AS BIGINT) AS n FROM (
 
 @query("direction_union", with_snap(EDGES_SQL + DIRECTIONS_SQL, "SELECT * FROM dirs"))
 def _(spark, d):
-    return flows.direction_union(flows.flow_edges(snapshot(spark, d)))
+    return flows.direction_union(flows.flow_edges(*dated(spark, d)))
 
 
 @query(
@@ -213,7 +213,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return flows.top_partners(flows.flow_edges(snapshot(spark, d)))
+    return flows.top_partners(flows.flow_edges(*dated(spark, d)))
 
 
 @query(
@@ -226,7 +226,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return flows.harvest_origins(flows.flow_edges(snapshot(spark, d)))
+    return flows.harvest_origins(flows.flow_edges(*dated(spark, d)))
 
 
 EXTERNAL_SQL = GROUPS_SQL + """,
@@ -240,7 +240,7 @@ ext AS (SELECT direction, "group", partner, CAST(sum(n) AS BIGINT) AS n FROM end
 
 @query("external_edges", with_snap(f"{EDGES_SQL},{EXTERNAL_SQL}", "SELECT * FROM ext"))
 def _(spark, d):
-    return flows.external_flows(flows.flow_edges(snapshot(spark, d)), group_membership(spark, d))
+    return flows.external_flows(flows.flow_edges(*dated(spark, d)), group_membership(spark, d))
 
 
 @query(
@@ -252,7 +252,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return flows.top_external(flows.flow_edges(snapshot(spark, d)), group_membership(spark, d))
+    return flows.top_external(flows.flow_edges(*dated(spark, d)), group_membership(spark, d))
 
 
 @query(
@@ -270,7 +270,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return diff.code_level_totals(snapshot(spark, d))
+    return diff.code_level_totals(*dated(spark, d))
 
 
 @query(
@@ -281,7 +281,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return diff.code_level_status_pairs(snapshot(spark, d))
+    return diff.code_level_status_pairs(*dated(spark, d))
 
 
 CODE_FLOWS_SQL = CHANGES_SQL + """,
@@ -293,7 +293,7 @@ cflow AS (SELECT idx, owner, CAST(sum(acquired) AS BIGINT) AS acquired, CAST(sum
 
 @query("segment_level_owner_flows", with_snap(CODE_FLOWS_SQL, "SELECT * FROM cflow"))
 def _(spark, d):
-    return diff.code_level_owner_flows(snapshot(spark, d))
+    return diff.code_level_owner_flows(*dated(spark, d))
 
 
 @query(
@@ -306,7 +306,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    sums = diff.code_level_owner_flows(snapshot(spark, d)).groupBy("owner").agg(
+    sums = diff.code_level_owner_flows(*dated(spark, d)).groupBy("owner").agg(
         F.sum("acquired").alias("acquired"), F.sum("harvested").alias("harvested"), F.sum("lost").alias("lost")
     )
     index = F.col("harvested").cast("double") / F.nullif(F.col("acquired"), F.lit(0))
@@ -327,7 +327,7 @@ def _(spark, d):
 )
 def _(spark, d):
     net = (
-        diff.code_level_owner_flows(snapshot(spark, d))
+        diff.code_level_owner_flows(*dated(spark, d))
         .groupBy("owner")
         .agg((F.sum("acquired") - F.sum("lost")).alias("net"))
     )
@@ -343,7 +343,7 @@ b AS (SELECT * FROM snap WHERE idx = (SELECT max(idx) FROM snap))"""
 
 
 def _last_pair(spark, d, owner="N", segment=False):
-    rows = diff.with_period_index(snapshot(spark, d, owner, segment))
+    rows = diff.with_period_index(*dated(spark, d, owner, segment))
     return rows.where(F.col("idx") == F.col("n_periods") - 1), rows.where(F.col("idx") == F.col("n_periods"))
 
 
@@ -395,7 +395,7 @@ gain AS (SELECT coalesce(c.owner, p.owner) AS owner, coalesce(p.n, 0) AS prev_n,
 
 def _gains(spark, d):
     """Two counts per owner from one scan of the last two periods."""
-    rows = diff.with_period_index(snapshot(spark, d)).where(F.col("idx") >= F.col("n_periods") - 1)
+    rows = diff.with_period_index(*dated(spark, d)).where(F.col("idx") >= F.col("n_periods") - 1)
     newest = F.col("idx") == F.col("n_periods")
     counts = rows.groupBy("owner").agg(F.count_if(~newest).alias("prev_n"), F.count_if(newest).alias("curr_n"))
     return counts.withColumn("delta", F.col("curr_n") - F.col("prev_n"))
@@ -446,7 +446,7 @@ def _(spark, d):
 def _(spark, d):
     """The three largest drops of every owner."""
     by_owner = Window.partitionBy("owner")
-    series = rollup.owner_period_rollup(snapshot(spark, d)).select("owner", "period", "inventory")
+    series = rollup.owner_period_rollup(*dated(spark, d)).select("owner", "period", "inventory")
     drops = (
         series.withColumn("prev", F.lag("inventory").over(by_owner.orderBy("period")))
         .where(F.col("prev").isNotNull())

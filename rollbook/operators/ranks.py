@@ -3,9 +3,10 @@ windows over the whole table stay small; none of them is used on key-level rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.constants import ENRICHMENT_MIN_WORKING, GROWTH_MIN_START, OPPORTUNISM_MIN_ACQUIRED
@@ -106,16 +107,14 @@ def sampled_trajectory(rollup: DataFrame, target: int = 14) -> DataFrame:
 
 def net_change(series: DataFrame, label: str = "label") -> DataFrame:
     """Value in the global last period (0 if absent) minus the first value of each series."""
-    last = series.select(F.max("period").alias("last_period"))
-    ends = (
-        series.join(F.broadcast(last))
-        .groupBy(label)
-        .agg(
-            F.min_by("value", "period").alias("baseline"),
-            F.coalesce(F.sum(F.when(F.col("period") == F.col("last_period"), F.col("value"))), F.lit(0)).alias("final"),
-        )
+    ends = series.groupBy(label).agg(
+        F.min_by("value", "period").alias("baseline"),
+        F.max("period").alias("own_last"),
+        F.max_by("value", "period").alias("own_final"),
     )
-    return ends.withColumn("delta", F.col("final") - F.col("baseline"))
+    last = F.max("own_last").over(Window.partitionBy())
+    final = F.when(F.col("own_last") == last, F.col("own_final")).otherwise(0)
+    return ends.select(label, "baseline", final.alias("final"), (final - F.col("baseline")).alias("delta"))
 
 
 def indexed_series(series: DataFrame, label: str = "label") -> DataFrame:
@@ -126,14 +125,15 @@ def indexed_series(series: DataFrame, label: str = "label") -> DataFrame:
     return scaled.select(label, "period", (F.lit(100.0) * F.col("value") / F.col("base")).alias("pct"))
 
 
-def stacked_series(series: DataFrame, order: Column, label: str = "label") -> DataFrame:
-    """Running sum across the series of each period; a missing point counts as 0."""
-    labels = series.select(label).distinct()
-    spine = series.select("period").distinct().join(F.broadcast(labels))
-    filled = spine.join(series.select(label, "period", "value"), [label, "period"], "left")
-    w = Window.partitionBy("period").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def stacked_series(series: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Running sum across the series of each period, in the order of labels; a missing
+    point counts as 0."""
+    order = F.array(*[F.lit(x) for x in labels])
+    spine = series.select("period").distinct().select("period", F.posexplode(order).alias("pos", "label"))
+    filled = spine.join(series.select("label", "period", "value"), ["label", "period"], "left")
+    w = Window.partitionBy("period").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     value = F.coalesce(F.col("value"), F.lit(0))
-    return filled.select(label, "period", value.alias("value"), F.sum(value).over(w).alias("top"))
+    return filled.select("label", "period", value.alias("value"), F.sum(value).over(w).alias("top"))
 
 
 def other_bucket(members: DataFrame, k: int = 8) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from rollbook.constants import SEGMENTS
 from rollbook.functions.calendar import quarter_of
+from rollbook.functions.keys import suffix7
 from rollbook.operators.diff import period_index
+from rollbook.operators.directory import latest_version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -199,6 +201,119 @@ def with_snap(body: str, select: str, owner: str = "N", segment: bool = False) -
     return f"WITH{snap_sql(owner, segment)}{body}\n{select}"
 
 
+# --- current keys, dictionary, ages ---------------------------------------------------
+
+
+def current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest line of every key: owner, codes, status, segment, suffix."""
+    last = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_partkey").alias("key"))
+        .agg(
+            F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")).alias("last")
+        )
+        .select("key", "last.*")
+    )
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), _segment(F.col("p_size")).alias("segment"))
+    code = F.lpad(F.col("s_nationkey").cast("string"), 2, "0")
+    digits = suffix7(F.col("key"))
+    return (
+        last.join(part, "key")
+        .join(supplier, "l_suppkey")
+        .select(
+            "key",
+            "segment",
+            digits.alias("digits"),
+            F.concat(F.col("segment").cast("string"), digits).alias("phone"),
+            F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3).alias("status"),
+            code.alias("owner"),
+            F.concat(code, F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0")).alias("sub_owner"),
+            F.col("l_shipdate").cast("date").alias("changed_at"),
+        )
+    )
+
+
+CURRENT_SQL = """
+cur AS (
+  SELECT l.key, CAST([800,833,844,855,866,877,888][p.p_size % 7 + 1] AS BIGINT) AS segment,
+         lpad(CAST(l.key % 10000000 AS VARCHAR), 7, '0') AS digits,
+         CAST([800,833,844,855,866,877,888][p.p_size % 7 + 1] AS VARCHAR) || lpad(CAST(l.key % 10000000 AS VARCHAR), 7, '0') AS phone,
+         CAST(CASE l.l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS BIGINT) AS status,
+         lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') AS owner,
+         lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(l.l_suppkey % 1000 AS VARCHAR), 3, '0') AS sub_owner,
+         CAST(l.l_shipdate AS DATE) AS changed_at
+  FROM (SELECT l_partkey AS key, *, row_number() OVER (PARTITION BY l_partkey
+          ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_returnflag DESC) AS rn FROM lineitem) l
+  JOIN part p ON p.p_partkey = l.key JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE rn = 1)"""
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words per suffix: the name of each part up to size 40, and its brand when the size is even."""
+    part = table(spark, sf_dir, "part").where(F.col("p_size") <= 40)
+    digits = suffix7(F.col("p_partkey"))
+    names = part.select(
+        digits.alias("digits"),
+        F.upper("p_name").alias("word"),
+        F.col("p_type").alias("category"),
+        F.concat(F.lit("Kind "), F.col("p_type")).alias("label"),
+        F.when(F.col("p_size") != 7, F.col("p_retailprice")).alias("score"),
+        F.when(F.col("p_size") != 9, F.col("p_size").cast("long")).alias("word_rank"),
+    )
+    brands = part.where(F.col("p_size") % 2 == 0).select(
+        digits.alias("digits"),
+        F.upper("p_brand").alias("word"),
+        F.when(F.col("p_size") % 10 != 0, F.col("p_brand")).alias("category"),
+        F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("Brand "), F.col("p_brand"))).alias("label"),
+        (F.col("p_retailprice") / 2).alias("score"),
+        (F.col("p_size") + 50).cast("long").alias("word_rank"),
+    )
+    return names.unionByName(brands)
+
+
+DICTIONARY_SQL = """
+dict AS (
+  SELECT lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0') AS digits, upper(p_name) AS word, p_type AS category,
+         'Kind ' || p_type AS label, CASE WHEN p_size <> 7 THEN p_retailprice END AS score,
+         CAST(CASE WHEN p_size <> 9 THEN p_size END AS BIGINT) AS word_rank FROM part WHERE p_size <= 40
+  UNION ALL
+  SELECT lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0'), upper(p_brand), CASE WHEN p_size % 10 <> 0 THEN p_brand END,
+         CASE WHEN p_size % 10 <> 0 THEN 'Brand ' || p_brand END, p_retailprice / 2, CAST(p_size + 50 AS BIGINT)
+  FROM part WHERE p_size <= 40 AND p_size % 2 = 0)"""
+
+
+def key_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a key of the supplier's nation: suffix, status and age in months.
+
+    Lines of the oldest year stand for entries without a readable date: their age is NULL.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    newest = table(spark, sf_dir, "lineitem").agg(
+        F.max(F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("now"), F.min(F.year("l_shipdate")).alias("oldest")
+    )
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    ends = newest.select(F.struct("now", "oldest").alias("e")).scalar()
+    return line.join(supplier, "l_suppkey").select(
+        F.col("l_partkey").alias("key"),
+        suffix7(F.col("l_partkey")).alias("digits"),
+        F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("owner"),
+        F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3).alias("status"),
+        F.when(
+            F.year("l_shipdate") > ends.getField("oldest"),
+            ends.getField("now") - (F.year("l_shipdate") * 12 + F.month("l_shipdate")),
+        ).alias("age_months"),
+    )
+
+
+AGES_SQL = """
+ages AS (
+  SELECT l_partkey AS key, lpad(CAST(l_partkey % 10000000 AS VARCHAR), 7, '0') AS digits,
+         lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS owner, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS status,
+         CASE WHEN year(l_shipdate) > (SELECT min(year(l_shipdate)) FROM lineitem) THEN
+           (SELECT max(year(l_shipdate) * 12 + month(l_shipdate)) FROM lineitem) - (year(l_shipdate) * 12 + month(l_shipdate)) END AS age_months
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
+
+
 # --- memberships ----------------------------------------------------------------------
 
 
@@ -246,3 +361,144 @@ GROUPS_SQL = """
 gmember AS (SELECT DISTINCT r_name AS "group", lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS owner
   FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
   UNION SELECT * FROM (VALUES ('EUROPE', '00'), ('EUROPE', '01'), ('ASIA', '24')) AS t(g, o))"""
+
+
+# --- directory documents --------------------------------------------------------------
+
+# Literal curated lists: categories as (id, slug, title).
+CATEGORIES = [
+    ("cat-0", "carrier", "Carrier"),
+    ("cat-1", "reseller", "Reseller"),
+    ("cat-2", "broker", "Broker"),
+    ("cat-3", "wireless", "Wireless"),
+    ("cat-4", "cable", "Cable"),
+    ("cat-unknown", "unknown", "Unknown"),
+    ("cat-hidden", "hidden", "Hidden"),
+    ("cat-dead", "dead", "Dormant"),
+]
+
+
+def category_docs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CATEGORIES, "id string, slug string, title string")
+
+
+def group_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(
+        F.concat(F.lit("grp-"), F.col("r_regionkey").cast("string")).alias("id"),
+        F.lower("r_name").alias("slug"),
+        F.col("r_name").alias("title"),
+    )
+
+
+def _refs(*refs: Column) -> Column:
+    structs = [F.when(r.isNotNull(), F.struct(r.alias("_ref"))) for r in refs]
+    return F.filter(F.array(*structs), lambda x: x.isNotNull())
+
+
+def doc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents about owners, one or two versions per supplier (published and draft)."""
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    places = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    ks = k.cast("string")
+    website = (
+        F.when(k % 6 == 1, F.concat(F.lit("https://www.site"), ks, F.lit(".example.com/about")))
+        .when(k % 6 == 2, F.concat(F.lit("Site"), ks, F.lit(".example.org")))
+        .when(k % 6 == 3, F.concat(F.lit("HTTP://WWW.Registry.Example/"), ks))
+        .when(k % 6 == 4, F.lit("no site"))
+        .when(k % 6 == 5, F.concat(F.lit("http://user@shop"), (k % 50).cast("string"), F.lit(".example.net:8080/x?y=1")))
+    )
+    street = (
+        F.when(k % 9 == 0, F.concat(F.lit("The UPS Store #"), ks))
+        .when(k % 9 == 1, F.concat(F.lit("12 Main St PMB #"), ks))
+        .when(k % 9 == 2, F.concat(F.lit("P.O. Box "), ks))
+        .when(k % 9 != 3, F.concat((k % 12 + 100).cast("string"), F.lit("  Main Street.")))
+    )
+    body = [
+        k.alias("doc_no"),
+        F.when(k % 7 == 0, F.col("r_name")).otherwise(F.col("s_name")).alias("title"),
+        F.when(k % 4 == 0, F.concat(F.lit("Alias "), ks)).alias("alias"),
+        F.concat(
+            F.lpad(F.col("s_nationkey").cast("string"), 2, "0"),
+            F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (k % 26 + 1).cast("int"), F.lit(1)),
+            F.lpad((k % 100).cast("string"), 2, "0"),
+        ).alias("code"),
+        F.struct(F.lower(F.regexp_replace("s_name", "#", "-")).alias("current")).alias("slug"),
+        website.alias("website"),
+        F.struct(
+            street.alias("street1"),
+            F.when(k % 20 != 19, F.col("r_name")).alias("city"),
+            F.substring("r_name", 1, 2).alias("state"),
+            F.lit("USA").alias("country"),
+        ).alias("address"),
+        _refs(
+            F.concat(F.lit("cat-"), (k % 5).cast("string")),
+            F.when(k % 8 == 0, F.lit("cat-unknown")),
+            F.when(k % 25 == 0, F.lit("cat-hidden")),
+            F.when(k % 13 == 0, F.lit("cat-dead")),
+            F.when(k % 17 == 0, F.lit("cat-gone")),
+        ).alias("categories"),
+        _refs(F.when(k % 2 == 0, F.concat(F.lit("grp-"), F.col("r_regionkey").cast("string")))).alias("groups"),
+        F.array(
+            F.struct(
+                F.lit("block").alias("_type"),
+                F.array(F.struct(F.col("s_name").alias("text")), F.struct(F.concat(F.lit(" of "), F.col("n_name")).alias("text"))).alias("children"),
+            ),
+            F.struct(F.lit("image").alias("_type"), F.array(F.struct(F.lit("x").alias("text"))).alias("children")),
+            F.struct(
+                F.lit("block").alias("_type"),
+                F.array(F.struct(F.concat(F.lit("No "), ks).alias("text"))).alias("children"),
+            ),
+        ).alias("summary"),
+        F.when(
+            k % 10 == 0,
+            F.array(
+                F.struct(
+                    F.concat(F.lit("2024-0"), (k % 9 + 1).cast("string"), F.lit("-15")).alias("date"),
+                    F.concat(F.lit(" News "), ks).alias("title"),
+                    F.lit("text").alias("snippet"),
+                ),
+                F.struct(F.lit(None).cast("string").alias("date"), F.concat(F.lit("Old "), ks).alias("title"), F.lit("").alias("snippet")),
+            ),
+        ).alias("recentNews"),
+    ]
+    version = F.array_compact(
+        F.array(
+            F.when(k % 3 != 0, F.lit("org-")),
+            F.when((k % 3 == 0) | (k % 5 == 0), F.lit("drafts.org-")),
+        )
+    )
+    return rows.select(F.explode(version).alias("v"), *body).withColumn("_id", F.concat("v", F.col("doc_no").cast("string"))).drop("v")
+
+
+def owner_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current version of every document."""
+    return latest_version(doc_versions(spark, sf_dir))
+
+
+DOCS_SQL = """
+cats AS (SELECT * FROM (VALUES ('cat-0','carrier','Carrier'),('cat-1','reseller','Reseller'),('cat-2','broker','Broker'),('cat-3','wireless','Wireless'),
+  ('cat-4','cable','Cable'),('cat-unknown','unknown','Unknown'),('cat-hidden','hidden','Hidden'),('cat-dead','dead','Dormant')) AS t(id, slug, title)),
+grps AS (SELECT 'grp-' || r_regionkey AS id, lower(r_name) AS slug, r_name AS title FROM region),
+docs AS (
+  SELECT k AS doc_no, CASE WHEN k % 3 <> 0 THEN 'org-' ELSE 'drafts.org-' END || k AS _id,
+    CASE WHEN k % 7 = 0 THEN r_name ELSE s_name END AS title, CASE WHEN k % 4 = 0 THEN 'Alias ' || k END AS alias,
+    lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', k % 26 + 1, 1) || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS code,
+    lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS owner, lower(replace(s_name, '#', '-')) AS slug,
+    CASE k % 6 WHEN 1 THEN 'https://www.site' || k || '.example.com/about' WHEN 2 THEN 'Site' || k || '.example.org'
+      WHEN 3 THEN 'HTTP://WWW.Registry.Example/' || k WHEN 4 THEN 'no site' WHEN 5 THEN 'http://user@shop' || (k % 50) || '.example.net:8080/x?y=1' END AS website,
+    CASE WHEN k % 9 = 0 THEN 'The UPS Store #' || k WHEN k % 9 = 1 THEN '12 Main St PMB #' || k WHEN k % 9 = 2 THEN 'P.O. Box ' || k
+      WHEN k % 9 <> 3 THEN (k % 12 + 100) || '  Main Street.' END AS street1,
+    CASE WHEN k % 20 <> 19 THEN r_name END AS city, substr(r_name, 1, 2) AS state, s_name, n_name, r_name,
+    list_filter(['cat-' || (k % 5), CASE WHEN k % 8 = 0 THEN 'cat-unknown' END, CASE WHEN k % 25 = 0 THEN 'cat-hidden' END,
+      CASE WHEN k % 13 = 0 THEN 'cat-dead' END, CASE WHEN k % 17 = 0 THEN 'cat-gone' END], x -> x IS NOT NULL) AS categories,
+    list_filter([CASE WHEN k % 2 = 0 THEN 'grp-' || r_regionkey END], x -> x IS NOT NULL) AS groups
+  FROM (SELECT *, s_suppkey AS k FROM supplier) JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+catref AS (SELECT doc_no, owner, unnest(categories) AS ref FROM docs),
+grpref AS (SELECT doc_no, owner, unnest(groups) AS ref FROM docs),
+hid AS (SELECT DISTINCT owner FROM docs WHERE owner LIKE '1%' UNION SELECT owner FROM catref WHERE ref = 'cat-hidden' UNION SELECT '24'),
+fdoc AS (SELECT * FROM docs WHERE doc_no IN (SELECT min(doc_no) FROM docs GROUP BY owner))"""
+
+HIDDEN_OVERRIDE = ["24"]

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from rollbook.plans import diff_queries, rank_queries  # noqa: F401
+from rollbook.plans import diff_queries, dictionary_queries, rank_queries, rule_queries  # noqa: F401
 from rollbook.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

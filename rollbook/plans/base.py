@@ -17,6 +17,8 @@ from rollbook.functions.calendar import quarter_of
 from rollbook.functions.keys import suffix7
 from rollbook.operators.diff import period_index
 from rollbook.operators.directory import latest_version
+from rollbook.operators.rules import adjust_snapshot, gap_fill
+from rollbook.sources.lines import parse_adjust_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -502,3 +504,126 @@ hid AS (SELECT DISTINCT owner FROM docs WHERE owner LIKE '1%' UNION SELECT owner
 fdoc AS (SELECT * FROM docs WHERE doc_no IN (SELECT min(doc_no) FROM docs GROUP BY owner))"""
 
 HIDDEN_OVERRIDE = ["24"]
+
+
+# --- raw text, rules and the adjusted month -------------------------------------------
+
+
+def _status_text() -> Column:
+    return F.when(F.col("status") == 1, "WORKING").when(F.col("status") == 2, "TRANSIT").otherwise("DISCONN")
+
+
+def raw_lines(rows: DataFrame) -> DataFrame:
+    """Text lines of keys, with the faults real files have: short lines, unknown statuses,
+    bad dates, missing codes, bad numbers, numbers without dashes or of foreign segments."""
+    fault = F.col("key") % 50
+    suffix = F.lpad((F.col("key") % 10_000_000).cast("string"), 7, "0")
+    seg = F.col("segment").cast("string")
+    tail = F.concat_ws("-", F.substring(suffix, 1, 3), F.substring(suffix, 4, 4))
+    number = (
+        F.when(fault == 4, F.concat(seg, F.lit("-X"), tail))
+        .when(fault == 6, F.concat(seg, suffix))
+        .when(fault == 7, F.concat(F.lit("212-"), tail))
+        .otherwise(F.concat(seg, F.lit("-"), tail))
+    )
+    status = F.when(fault == 1, "BOGUS").when(fault == 5, "SPARE").otherwise(_status_text())
+    date = F.when(fault == 2, "26/13").otherwise(F.date_format("changed_at", "yy/MM/dd"))
+    code = F.when(fault == 3, F.lit("")).otherwise(F.col("sub_owner"))
+    value = F.concat(
+        number,
+        F.lit("  ,"),
+        F.rpad(status, 8, " "),
+        F.lit(","),
+        date,
+        F.lit(","),
+        F.lpad((F.col("key") % 100).cast("string"), 2, "0"),
+        F.when(fault == 0, "").otherwise(F.concat(F.lit(","), code)),
+    )
+    return rows.withColumn("value", value)
+
+
+_RAW = """
+{name} AS (
+  SELECT key, {cols}, CASE key % 50 WHEN 4 THEN segment || '-X' || substr(suffix, 1, 3) || '-' || substr(suffix, 4) WHEN 6 THEN segment || suffix
+      WHEN 7 THEN '212-' || substr(suffix, 1, 3) || '-' || substr(suffix, 4) ELSE segment || '-' || substr(suffix, 1, 3) || '-' || substr(suffix, 4) END
+    || '  ,' || rpad(CASE WHEN key % 50 = 1 THEN 'BOGUS' WHEN key % 50 = 5 THEN 'SPARE' WHEN status = 1 THEN 'WORKING' WHEN status = 2 THEN 'TRANSIT' ELSE 'DISCONN' END, 8, ' ')
+    || ',' || CASE WHEN key % 50 = 2 THEN '26/13' ELSE strftime(changed_at, '%y/%m/%d') END || ',' || lpad(CAST(key % 100 AS VARCHAR), 2, '0')
+    || CASE key % 50 WHEN 0 THEN '' WHEN 3 THEN ',' ELSE ',' || sub_owner END AS value
+  FROM (SELECT *, lpad(CAST(key % 10000000 AS VARCHAR), 7, '0') AS suffix FROM {source}))"""
+RAW_SQL = _RAW.format(name="raw", cols="period, segment", source="snap")
+RAW_CURRENT_SQL = _RAW.format(name="rawc", cols="segment", source="cur")
+
+# Literal rules: (pattern, status, date, template, code); None keeps, '' clears.
+PHONE_RULES = [
+    ("800******0", "UNAVAIL", None, None, None),
+    ("833*****1*", None, "", "XX", "ZZZ99"),
+    ("800*******", "RESERVED", None, "", None),
+    ("8**0000**7", "TRANSIT", "01/01/01", None, ""),
+]
+RENAME_RULES = [("07***", "77R01"), ("1*0*5", "88R02"), ("07**1", "99999"), ("ZZZ99", "ZZZ98")]
+STATUS_RULES = [("77R01", "*", "SUSPEND"), ("2****", "WORKING", "ASSIGNED"), ("2*0**", "*", "RESERVED")]
+
+
+def adjust_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed lines of the current keys."""
+    return parse_adjust_line(raw_lines(current_keys(spark, sf_dir)).select("key", "value"))
+
+
+ADJUST_INPUT_SQL = """
+inp AS (SELECT key, replace(trim(f[1]), '-', '') AS phone, trim(f[2]) AS status, trim(f[3]) AS date, trim(f[4]) AS template, trim(f[5]) AS sub_owner
+  FROM (SELECT key, string_split(value, ',') AS f FROM rawc) WHERE len(f) >= 5 AND regexp_full_match(replace(trim(f[1]), '-', ''), '[0-9]{10}'))"""
+
+
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact overrides for the parts of size 13, and empty targets for those of size 14."""
+    part = table(spark, sf_dir, "part").where(F.col("p_size").isin(13, 14))
+    return part.select(
+        F.concat(_segment(F.col("p_size")).cast("string"), suffix7(F.col("p_partkey"))).alias("phone"),
+        F.when(F.col("p_size") == 13, F.concat(F.lit("OV"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")))
+        .otherwise("")
+        .alias("code"),
+    ).dropDuplicates(["phone"])
+
+
+def top_suffix(spark: SparkSession, sf_dir: str) -> int:
+    """Upper end of the key space: one number from an aggregate."""
+    top = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    return min(int(top), 9_999_999)
+
+
+def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjusted month: gap-filled key space after all four passes."""
+    full = gap_fill(adjust_input(spark, sf_dir), 0, top_suffix(spark, sf_dir), "key")
+    return adjust_snapshot(full, PHONE_RULES, RENAME_RULES, STATUS_RULES, overrides(spark, sf_dir))
+
+
+OVERRIDES_SQL = """
+ovr AS (SELECT CAST([800,833,844,855,866,877,888][p_size % 7 + 1] AS VARCHAR) || lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0') AS phone,
+  CASE p_size WHEN 13 THEN 'OV' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') ELSE '' END AS code FROM part WHERE p_size IN (13, 14))"""
+
+GAP_SQL = """
+filled AS (SELECT s.phone, coalesce(i.status, 'AVAIL') AS status, coalesce(i.date, '') AS date, coalesce(i.template, '') AS template,
+    coalesce(i.sub_owner, '') AS sub_owner
+  FROM (SELECT CAST(g.seg AS VARCHAR) || lpad(CAST(r.n AS VARCHAR), 7, '0') AS phone
+        FROM (SELECT unnest([800,833,844,855,866,877,888]) AS seg) g CROSS JOIN (SELECT range AS n FROM range(0, (SELECT least(max(p_partkey), 9999999) + 1 FROM part))) r) s
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY key) AS rn FROM inp) WHERE rn = 1) i USING (phone))"""
+
+
+def cascade_sql(source: str) -> str:
+    """The four passes over a table with phone, status, date, template and sub_owner."""
+    return f"""
+p1 AS (SELECT *, CASE WHEN phone LIKE '800______0' THEN 1 WHEN phone LIKE '833_____1_' THEN 2 WHEN phone LIKE '800_______' THEN 3
+    WHEN phone LIKE '8__0000__7' THEN 4 END AS h FROM {source}),
+p1b AS (SELECT * EXCLUDE (status, date, template, sub_owner), CASE h WHEN 1 THEN 'UNAVAIL' WHEN 3 THEN 'RESERVED' WHEN 4 THEN 'TRANSIT' ELSE status END AS status,
+  CASE h WHEN 2 THEN '' WHEN 4 THEN '01/01/01' ELSE date END AS date, CASE h WHEN 2 THEN 'XX' WHEN 3 THEN '' ELSE template END AS template,
+  CASE h WHEN 2 THEN 'ZZZ99' WHEN 4 THEN '' ELSE sub_owner END AS sub_owner FROM p1),
+p2 AS (SELECT * EXCLUDE (sub_owner), CASE WHEN sub_owner LIKE '07___' THEN '77R01' WHEN sub_owner LIKE '1_0_5' THEN '88R02'
+  WHEN sub_owner = 'ZZZ99' THEN 'ZZZ98' ELSE sub_owner END AS sub_owner FROM p1b),
+p3 AS (SELECT * EXCLUDE (status), CASE WHEN sub_owner = '77R01' THEN 'SUSPEND' WHEN sub_owner LIKE '2____' AND trim(status) = 'WORKING' THEN 'ASSIGNED'
+  WHEN sub_owner LIKE '2_0__' THEN 'RESERVED' ELSE status END AS status FROM p2),
+p4 AS (SELECT p.* EXCLUDE (sub_owner), coalesce(o.code, p.sub_owner) AS sub_owner FROM p3 p LEFT JOIN (SELECT * FROM ovr WHERE code <> '') o USING (phone)),
+adj AS (SELECT phone, status, date, template, sub_owner, CASE WHEN length(sub_owner) >= 2 THEN substr(sub_owner, 1, 2) ELSE '' END AS owner FROM p4)"""
+
+
+ADJ_INPUT_CTES = f"{CURRENT_SQL},{RAW_CURRENT_SQL},{ADJUST_INPUT_SQL},{OVERRIDES_SQL}"
+ADJUSTED_CTES = f"{ADJ_INPUT_CTES},{GAP_SQL},{cascade_sql('filled')}"

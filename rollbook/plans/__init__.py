@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from rollbook.plans import diff_queries, dictionary_queries, rank_queries, rule_queries  # noqa: F401
+from rollbook.plans import (  # noqa: F401
+    dictionary_queries,
+    diff_queries,
+    directory_queries,
+    rank_queries,
+    rule_queries,
+)
 from rollbook.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

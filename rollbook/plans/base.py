@@ -494,9 +494,9 @@ docs AS (
     CASE WHEN k % 9 = 0 THEN 'The UPS Store #' || k WHEN k % 9 = 1 THEN '12 Main St PMB #' || k WHEN k % 9 = 2 THEN 'P.O. Box ' || k
       WHEN k % 9 <> 3 THEN (k % 12 + 100) || '  Main Street.' END AS street1,
     CASE WHEN k % 20 <> 19 THEN r_name END AS city, substr(r_name, 1, 2) AS state, s_name, n_name, r_name,
-    list_filter(['cat-' || (k % 5), CASE WHEN k % 8 = 0 THEN 'cat-unknown' END, CASE WHEN k % 25 = 0 THEN 'cat-hidden' END,
-      CASE WHEN k % 13 = 0 THEN 'cat-dead' END, CASE WHEN k % 17 = 0 THEN 'cat-gone' END], x -> x IS NOT NULL) AS categories,
-    list_filter([CASE WHEN k % 2 = 0 THEN 'grp-' || r_regionkey END], x -> x IS NOT NULL) AS groups
+    [x FOR x IN ['cat-' || (k % 5), CASE WHEN k % 8 = 0 THEN 'cat-unknown' END, CASE WHEN k % 25 = 0 THEN 'cat-hidden' END,
+      CASE WHEN k % 13 = 0 THEN 'cat-dead' END, CASE WHEN k % 17 = 0 THEN 'cat-gone' END] IF x IS NOT NULL] AS categories,
+    [x FOR x IN [CASE WHEN k % 2 = 0 THEN 'grp-' || r_regionkey END] IF x IS NOT NULL] AS groups
   FROM (SELECT *, s_suppkey AS k FROM supplier) JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
 catref AS (SELECT doc_no, owner, unnest(categories) AS ref FROM docs),
 grpref AS (SELECT doc_no, owner, unnest(groups) AS ref FROM docs),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions.fence import settled
 from rollbook.functions.text import needle_pattern
 
 # Names too common to search for.
@@ -112,8 +113,8 @@ def repaired(text: Column) -> Column:
 def parse_payload(rows: DataFrame, column: str) -> DataFrame:
     """Add parsed (a variant or NULL) and how it was won: clean, repaired, salvaged, failed."""
     staged = rows.withColumn("clean_text", without_fence(F.col(column)))
-    staged = staged.withColumn("v1", _strict(F.col("clean_text")))
-    staged = staged.withColumn("v2", F.when(F.col("v1").isNull(), _strict(repaired(F.col("clean_text")))))
+    staged = settled(staged.withColumn("v1", _strict(F.col("clean_text"))))
+    staged = settled(staged.withColumn("v2", F.when(F.col("v1").isNull(), _strict(repaired(F.col("clean_text"))))))
     upto = F.regexp_extract(F.col(column), r"(?s)^(.*\})", 1)
     staged = staged.withColumn("v3", F.when(F.col("v1").isNull() & F.col("v2").isNull(), _strict(upto)))
     how = (
@@ -122,11 +123,8 @@ def parse_payload(rows: DataFrame, column: str) -> DataFrame:
         .when(F.col("v3").isNotNull(), "salvaged")
         .otherwise("failed")
     )
-    return (
-        staged.withColumn("outcome", how)
-        .withColumn("parsed", F.coalesce("v1", "v2", "v3"))
-        .drop("clean_text", "v1", "v2", "v3")
-    )
+    won = staged.withColumn("outcome", how).withColumn("parsed", F.coalesce("v1", "v2", "v3"))
+    return settled(won.drop("clean_text", "v1", "v2", "v3"))
 
 
 def normalise_payload(parsed: DataFrame) -> DataFrame:
@@ -162,4 +160,4 @@ def normalise_payload(parsed: DataFrame) -> DataFrame:
         F.nullif(F.lower(text("confidence")), F.lit("")).alias("confidence"),
         news.alias("news"),
     )
-    return rows.where(F.col("overview").isNotNull() | (F.size("news") > 0))
+    return settled(rows).where(F.col("overview").isNotNull() | (F.size("news") > 0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.constants import SEGMENTS
+from rollbook.functions.fence import settled
 from rollbook.functions.keys import SUFFIX_SPAN, ten_digits
 
 MAX_PATTERN_RULES = 1000
@@ -77,17 +78,11 @@ def apply_rename_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     return rows.withColumn("sub_owner", _replace("sub_owner", hit, [r[1] for r in rules]))
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """The same rows behind a generator, which the optimizer does not look through.
+def apply_status_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
+    """rules: (pattern, status or '*', new status), tested on the code after renaming.
 
-    Without it a later filter on the status is pushed down with every mention of the code
-    replaced by the whole rename expression, and the generated code outgrows its limit.
+    Every test mentions the code, so the rename expression is settled first.
     """
-    return rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns]))))
-
-
-def apply_status_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """rules: (pattern, status or '*', new status), tested on the code after renaming."""
     if not rules:
         return rows
 
@@ -96,7 +91,7 @@ def apply_status_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
         return hit if rule[1].strip() == "*" else hit & (F.trim("status") == rule[1].strip())
 
     hit = first_match([test(r) for r in rules])
-    return _settled(rows).withColumn("status", _replace("status", hit, [r[2].strip() for r in rules]))
+    return settled(rows).withColumn("status", _replace("status", hit, [r[2].strip() for r in rules]))
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -264,9 +264,10 @@ def _mention_names(spark, d):
     "mention_search",
     r"""WITH nd AS (SELECT DISTINCT owner, needle FROM (SELECT item_id AS owner, lower(trim(unnest([regexp_extract(text, '^(\S+ \S+ \S+)', 1), regexp_extract(text, '([A-Za-z]{6,})', 1)]))) AS needle FROM benchmark)
     WHERE length(needle) >= 5 AND needle NOT IN ('unknown', 'secondary', 'telecom', 'communications', 'international', 'messaging', 'regional phone company'))
-    SELECT DISTINCT owner, doc_id FROM nd JOIN documents ON contains(lower(text), needle) AND regexp_matches(lower(text),
-      CASE WHEN regexp_matches(needle, '^[\p{L}\p{N}_]') THEN '(^|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END || regexp_escape(needle) ||
-      CASE WHEN regexp_matches(needle, '[\p{L}\p{N}_]$') THEN '([^\p{L}\p{N}_]|$)' ELSE '[\p{L}\p{N}_]' END)""",
+    , mk AS (SELECT doc_id, regexp_replace(lower(text), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g') AS marked FROM documents),
+    mn AS (SELECT owner, CASE WHEN m[1] <> chr(1) THEN chr(1) ELSE '' END || m || CASE WHEN m[-1] <> chr(1) THEN chr(1) ELSE '' END AS m
+      FROM (SELECT owner, regexp_replace(needle, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g') AS m FROM nd))
+    SELECT DISTINCT owner, doc_id FROM mn JOIN mk ON contains(marked, m)""",
 )
 def _(spark, d):
     return documents.mention_search(table(spark, d, "documents"), documents.needles(_mention_names(spark, d)))

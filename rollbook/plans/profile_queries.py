@@ -13,14 +13,14 @@ from rollbook.plans.base import (
     dated,
     owner_docs,
     query,
-    snapshot,
     with_snap,
 )
 from rollbook.plans.diff_queries import TOTALS_SELECT
 from rollbook.plans.directory_queries import NAMES_SQL, _hidden, _names
 from rollbook.plans.document_queries import FLAGS_SQL
-from rollbook.plans.rank_queries import RANKS_SELECT, RANKS_SQL, RUNS_SQL, _enrichment, _rank_inputs, _rollup
+from rollbook.plans.rank_queries import RANKS_SELECT, RANKS_SQL, RUNS_SQL, _enrichment
 from rollbook.plans.source_queries import TEXT_SQL, key_texts
+from rollbook.session import materialise
 
 _EDGE_TAIL = EDGES_SQL[EDGES_SQL.index(",\nedges AS") :]
 PROFILE_SQL = f"""{RANKS_SQL}{_EDGE_TAIL},{FLAGS_SQL},{RUNS_SQL},
@@ -50,17 +50,22 @@ li AS (SELECT owner, count(*) AS inventory FROM latest GROUP BY owner)"""
     ),
 )
 def _(spark, d):
-    edges = flows.flow_edges(*dated(spark, d))
+    """Six tables are read from the snapshots, so these are written once and shared."""
+    rows, when = dated(spark, d)
+    rows, when = materialise(rows, "profile-snapshot"), materialise(when, "profile-periods")
+    rolled = materialise(rollup.owner_period_rollup(rows, when), "profile-rollup")
+    latest = rollup.latest_snapshot(rows, when)
+    enriched = materialise(_enrichment(spark, d), "profile-enrichment")
     docs = owner_docs(spark, d)
     return profile.owner_profile(
-        rollup.owner_inventory(rollup.latest_snapshot(*dated(spark, d))),
+        rollup.owner_inventory(latest),
         directory.first_docs(docs),
         _hidden(spark, d),
-        ranks.ranks(_rank_inputs(spark, d)),
-        ranks.owner_trajectory(_rollup(spark, d)),
-        _enrichment(spark, d),
-        flows.flow_totals(edges),
-        episodes.episode_summary(episodes.disconnect_runs(snapshot(spark, d))),
+        ranks.ranks(ranks.rank_inputs(latest, rolled, enriched, 1000, 10, 500)),
+        ranks.owner_trajectory(rolled),
+        enriched,
+        flows.flow_totals(flows.flow_edges(rows, when)),
+        episodes.episode_summary(episodes.disconnect_runs(rows)),
         contacts.flag_dedupe(contacts.mailbox_flags(docs)),
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is inferred once: each inference is a job of its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def plain_types(df: DataFrame) -> DataFrame:
@@ -68,15 +75,19 @@ def _segment(size: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), (size % 7) + 1)
 
 
-def snapshot(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool = False) -> DataFrame:
-    """One row per (key, period): the last line of a part in a quarter.
+def _newest(lines: DataFrame, *group: str) -> DataFrame:
+    """The newest line of every group.
 
-    The newest line is found by a max over a struct, which Spark combines before the
-    shuffle, so a key with very many lines costs one row per task.
+    Spark keeps one line per group and task before the shuffle (a window group limit), so
+    a group with a third of all lines costs one row per task.
     """
-    newest = F.max(
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
-    ).alias("last")
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    w = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
+    return lines.withColumn("n", F.row_number().over(w)).where(F.col("n") == 1).drop("n")
+
+
+def snapshot(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool = False) -> DataFrame:
+    """One row per (key, period): the last line of a part in a quarter."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("key"),
         (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("quarter"),
@@ -86,7 +97,7 @@ def snapshot(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool =
         "l_suppkey",
         "l_returnflag",
     )
-    last = lines.groupBy("key", "quarter").agg(newest).select("key", "last.*")
+    last = _newest(lines, "key", "quarter")
     nation = table(spark, sf_dir, "nation")  # 25 rows by definition of the schema
     region = table(spark, sf_dir, "region")  # 5 rows by definition of the schema
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
@@ -208,14 +219,8 @@ def with_snap(body: str, select: str, owner: str = "N", segment: bool = False) -
 
 def current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest line of every key: owner, codes, status, segment, suffix."""
-    last = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("key"))
-        .agg(
-            F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")).alias("last")
-        )
-        .select("key", "last.*")
-    )
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "key")
+    last = _newest(lines, "key")
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), _segment(F.col("p_size")).alias("segment"))
     code = F.lpad(F.col("s_nationkey").cast("string"), 2, "0")

@@ -47,13 +47,14 @@ BRANDS = [
 ]
 
 
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+def stripped(text: Column) -> Column:
+    """Without blanks and line breaks at both ends."""
+    return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def _peel(rest: Column, pattern: str) -> tuple[Column, Column]:
     """The group at the end of the text and the text before it."""
-    return F.regexp_extract(rest, pattern, 1), _stripped(F.regexp_replace(rest, pattern, ""))
+    return F.regexp_extract(rest, pattern, 1), stripped(F.regexp_replace(rest, pattern, ""))
 
 
 def split_address(df, column: str):
@@ -68,11 +69,11 @@ def split_address(df, column: str):
         got, left = _peel(F.col("rest"), pattern)
         return frame.withColumns({name: got, "rest": left})
 
-    out = df.withColumn("rest", _stripped(F.coalesce(F.col(column), empty)))
+    out = df.withColumn("rest", stripped(F.coalesce(F.col(column), empty)))
     out = peel(out, "phone", r"(\d{3}-\d{3}-\d{4}|\d{10})\s*$")
     out = peel(out, "zip", r"\s+([A-Z]?\d{5}(?:-?\d{4})?|[A-Z]\d[A-Z]\s?\d[A-Z]\d)\s*$")
     out = peel(out, "country", r"(?s),([^,]*)$")
-    out = out.withColumn("country", _stripped(F.col("country")))
+    out = out.withColumn("country", stripped(F.col("country")))
     out = peel(out, "named_state", rf" ({states})$")
     short = r"\s+([A-Z]{2})\s*$"
     unnamed = F.col("named_state") == ""
@@ -90,22 +91,22 @@ def split_address(df, column: str):
         .when(flat.rlike(tail), F.regexp_replace(flat, tail, ""))
         .otherwise(F.col("rest"))
     )
-    return out.withColumns({"street": _stripped(street), "city": _stripped(city)}).drop("rest", "named_state")
+    return out.withColumns({"street": stripped(street), "city": stripped(city)}).drop("rest", "named_state")
 
 
 def contact_struct(text: Column) -> Column:
     """Name, email, phone after P: and fax after F: from one string."""
-    s = _stripped(F.coalesce(text, F.lit("")))
+    s = stripped(F.coalesce(text, F.lit("")))
     mail = r"\b([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b"
     email = F.regexp_extract(s, mail, 1)
     has = email != ""
-    rest = F.when(has, _stripped(F.regexp_replace(s, rf"(?s)^.*?{mail}", ""))).otherwise(s)
-    before = _stripped(F.regexp_extract(s, rf"(?s)^(.*?){mail}", 1))
+    rest = F.when(has, stripped(F.regexp_replace(s, rf"(?s)^.*?{mail}", ""))).otherwise(s)
+    before = stripped(F.regexp_extract(s, rf"(?s)^(.*?){mail}", 1))
     return F.struct(
         F.when(has, before).otherwise(rest).alias("name"),
         email.alias("email"),
-        _stripped(F.regexp_extract(rest, r"P:\s*([\w\-\. ]+?)(?=F:|$)", 1)).alias("phone"),
-        _stripped(F.regexp_extract(rest, r"F:\s*([\w\-\. ]+)$", 1)).alias("fax"),
+        stripped(F.regexp_extract(rest, r"P:\s*([\w\-\. ]+?)(?=F:|$)", 1)).alias("phone"),
+        stripped(F.regexp_extract(rest, r"F:\s*([\w\-\. ]+)$", 1)).alias("fax"),
     )
 
 
@@ -153,7 +154,7 @@ def plain_text(blocks: Column) -> Column:
     joined = F.transform(
         texts, lambda b: F.array_join(F.transform(b["children"], lambda c: F.coalesce(c["text"], F.lit(""))), "")
     )
-    return F.coalesce(_stripped(F.array_join(joined, "\n\n")), F.lit(""))
+    return F.coalesce(stripped(F.array_join(joined, "\n\n")), F.lit(""))
 
 
 def needle_pattern(needle: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.fence import settled
-from rollbook.functions.text import needle_pattern
+from rollbook.functions.text import needle_pattern, stripped
 
 # Names too common to search for.
 STOP_NAMES = (
@@ -18,7 +18,7 @@ STOP_NAMES = (
 
 # Runs of word characters, and runs of other characters.
 _WORDS = r"[\p{L}\p{N}_]+"
-_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_NO_WORDS = r"[^\p{L}\p{N}_]+"
 
 
 def needles(names: DataFrame, stop: Sequence[str] = STOP_NAMES) -> DataFrame:
@@ -32,24 +32,33 @@ def mention_search(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(owner, doc_id) for every text that mentions a needle between word boundaries.
 
     A needle that occurs contains its longest run of word characters as a whole word of the
-    text, so candidates come from an equi-join on that word and only they are tested with
-    the full pattern. Texts are not multiplied: the join works on (doc_id, word) alone.
-    A needle without word characters is joined on itself as a run of other characters.
+    text, so candidates come from an equi-join on that word. A needle that is one word is
+    found by the join alone; of the others only the candidates are tested with the full
+    pattern. Texts are not multiplied: the first join works on (doc_id, word) alone.
     """
     runs = F.regexp_extract_all("needle", F.lit(f"({_WORDS})"), 1)
-    longest = F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))[0]
     keyed = wanted.select(
         "owner",
         "needle",
-        F.coalesce(longest, F.col("needle")).alias("token"),
+        F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))[0].alias("token"),
         needle_pattern(F.col("needle")).alias("pattern"),
     )
-    tokens = texts.select(
-        "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({_TOKENS})"), 1))).alias("token")
-    )
-    candidates = tokens.join(keyed, "token").select("doc_id", "owner", "pattern")
-    tested = candidates.join(texts.select("doc_id", F.lower("text").alias("text")), "doc_id")
-    return tested.where(F.expr("rlike(text, pattern)")).select("owner", "doc_id").distinct()
+    low = texts.select("doc_id", F.lower("text").alias("text"))
+    found = low.select("doc_id", F.explode(F.array_distinct(F.split("text", _NO_WORDS))).alias("token"))
+    named = keyed.where(F.col("token").isNotNull())
+    # both uses below read the same shuffled candidates
+    candidates = settled(found.join(named, "token").repartition("doc_id"))
+    whole = F.col("needle") == F.col("token")
+    exact = candidates.where(whole).select("owner", "doc_id")
+    # plain containment first: it is much cheaper than a pattern that changes with every row
+    tested = candidates.where(~whole).join(low, "doc_id")
+    tested = tested.where(F.contains("text", "needle") & F.expr("rlike(text, pattern)"))
+    # needles without any word character stand between two words as a whole run of others
+    gaps = low.select("doc_id", F.explode(F.array_distinct(F.split("text", _WORDS))).alias("needle"))
+    signs = gaps.join(keyed.where(F.col("token").isNull()), "needle").join(low, "doc_id")
+    signs = signs.where(F.expr("rlike(text, pattern)"))
+    parts = [exact, tested.select("owner", "doc_id"), signs.select("owner", "doc_id")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 def news_feed(docs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -81,24 +90,26 @@ def news_feed(docs: DataFrame, posts: DataFrame) -> DataFrame:
 # --- payloads -------------------------------------------------------------------------
 
 
-def _strict(text: Column) -> Column:
-    """JSON value as a variant, NULL unless the text is exactly one object.
+def _with_object(rows: DataFrame, name: str, text: Column) -> DataFrame:
+    """Add the JSON object of a text as a variant, NULL unless the text is exactly one object.
 
     The text is parsed inside brackets: junk behind the object then breaks the array, and
-    a second object would make it longer.
+    a second object would make it longer. Texts without braces at both ends are not tried,
+    since a failing parse costs far more than a good one.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.try_variant_get(wrapped, "$[0]", "variant")
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    is_object = F.coalesce(F.schema_of_variant(one).startswith("OBJECT"), F.lit(False))
-    return F.when(alone & is_object, one)
+    body = stripped(text)
+    likely = body.startswith("{") & body.endswith("}")
+    wrapped = F.when(likely, F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    parsed = settled(rows.withColumn(name, wrapped))
+    alone = F.try_variant_get(name, "$[1]", "variant").isNull()
+    return parsed.withColumn(name, F.when(alone, F.try_variant_get(name, "$[0]", "variant")))
 
 
 def without_fence(content: Column) -> Column:
     """Text without a surrounding code fence and its language word."""
-    trimmed = F.regexp_replace(content, r"^\s+|\s+$", "")
-    inner = F.regexp_replace(trimmed, r"^`+|`+$", "")
-    named = F.regexp_replace(F.regexp_replace(inner, r"^\s*json", ""), r"^\s+|\s+$", "")
+    trimmed = stripped(content)
+    inner = F.trim(trimmed, F.lit("`"))
+    named = stripped(F.regexp_replace(inner, r"^\s*json", ""))
     fenced = F.when(inner.rlike(r"^\s*json"), named).otherwise(inner)
     return F.when(trimmed.startswith("```"), fenced).otherwise(trimmed)
 
@@ -112,11 +123,10 @@ def repaired(text: Column) -> Column:
 
 def parse_payload(rows: DataFrame, column: str) -> DataFrame:
     """Add parsed (a variant or NULL) and how it was won: clean, repaired, salvaged, failed."""
-    staged = rows.withColumn("clean_text", without_fence(F.col(column)))
-    staged = settled(staged.withColumn("v1", _strict(F.col("clean_text"))))
-    staged = settled(staged.withColumn("v2", F.when(F.col("v1").isNull(), _strict(repaired(F.col("clean_text"))))))
+    staged = _with_object(rows.withColumn("clean_text", without_fence(F.col(column))), "v1", F.col("clean_text"))
+    staged = _with_object(staged, "v2", F.when(F.col("v1").isNull(), repaired(F.col("clean_text"))))
     upto = F.regexp_extract(F.col(column), r"(?s)^(.*\})", 1)
-    staged = staged.withColumn("v3", F.when(F.col("v1").isNull() & F.col("v2").isNull(), _strict(upto)))
+    staged = _with_object(staged, "v3", F.when(F.col("v1").isNull() & F.col("v2").isNull(), upto))
     how = (
         F.when(F.col("v1").isNotNull(), "clean")
         .when(F.col("v2").isNotNull(), "repaired")

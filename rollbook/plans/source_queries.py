@@ -53,7 +53,7 @@ def _(spark, d):
     return lines.parse_combined_lines(_raw(spark, d).drop("segment"), drop_spares=True)
 
 
-@query("encode_snapshot", with_snap(PARSED_SQL, "SELECT * EXCLUDE (period) FROM enc WHERE key IS NOT NULL", segment=True))
+@query("encode_snapshot", with_snap(PARSED_SQL, "SELECT * FROM enc WHERE key IS NOT NULL", segment=True))
 def _(spark, d):
     return lines.encode_snapshot(lines.parse_snapshot_lines(_raw(spark, d)))
 

@@ -61,7 +61,9 @@ def _date_part(i: int) -> Column:
 
 def encode_snapshot(rows: DataFrame) -> DataFrame:
     """Typed snapshot: rows whose number is no integer are dropped, an unknown status is 0,
-    an unreadable date is 0/0/0."""
+    an unreadable date is 0/0/0. Other columns are kept."""
+    used = {"number", "segment", "status", "date", "code"}
+    others = [c for c in rows.columns if c not in used]
     key = F.expr("try_cast(replace(number, '-', '') as bigint)")
     typed = rows.select(
         key.alias("key"),
@@ -72,6 +74,7 @@ def encode_snapshot(rows: DataFrame) -> DataFrame:
         _date_part(0).alias("yy"),
         _date_part(1).alias("mm"),
         _date_part(2).alias("dd"),
+        *others,
     )
     return typed.where(F.col("key").isNotNull())
 

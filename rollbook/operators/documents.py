@@ -40,7 +40,7 @@ def mention_search(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed = wanted.select(
         "owner",
         "needle",
-        F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))[0].alias("token"),
+        F.get(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), F.lit(0)).alias("token"),
         needle_pattern(F.col("needle")).alias("pattern"),
     )
     low = texts.select("doc_id", F.lower("text").alias("text"))

@@ -384,6 +384,6 @@ def _(spark, d):
         "specific",
         "confidence",
         F.size("news").alias("n_news"),
-        F.col("news")[0]["title"].alias("first_title"),
-        F.col("news")[0]["date"].alias("first_date"),
+        F.get("news", F.lit(0))["title"].alias("first_title"),
+        F.get("news", F.lit(0))["date"].alias("first_date"),
     )

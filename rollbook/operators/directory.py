@@ -1,7 +1,8 @@
 """Directory documents about owners, and roll-ups along their categories and groups.
 
 An owner code has two characters, so tables with one row per owner hold at most 1,296 rows
-(36 * 36). That bound, not a guess, is why such tables may be broadcast below.
+(36 * 36). That bound, not a guess, is why such tables, and those with one row per owner and
+curated category or group, may be broadcast below.
 
 docs: (doc_no, _id, title, alias, code, slug, website, address, categories, groups, ...)
 where categories and groups are arrays of structs with a _ref.
@@ -506,9 +507,7 @@ def unknown_and_real(docs: DataFrame, categories: DataFrame, meta: Sequence[str]
     real = categories.where(~F.col("slug").isin(*meta)).select(F.col("id").alias("ref"), F.lit(1).alias("real"))
     unknown = categories.where(F.col("slug") == "unknown").select(F.col("id").alias("ref"), F.lit(1).alias("unknown"))
     refs = docs.select("doc_no", F.posexplode("categories").alias("pos", "r")).select("doc_no", "pos", "r._ref")
-    tagged = refs.withColumnRenamed("_ref", "ref").join(F.broadcast(real), "ref", "left").join(
-        F.broadcast(unknown), "ref", "left"
-    )
+    tagged = refs.withColumnRenamed("_ref", "ref").join(real, "ref", "left").join(unknown, "ref", "left")
     kept = F.when(F.col("unknown").isNull(), F.struct("pos", "ref"))
     per_doc = tagged.groupBy("doc_no").agg(
         F.max("real").alias("has_real"),

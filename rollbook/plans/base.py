@@ -214,6 +214,12 @@ def with_snap(body: str, select: str, owner: str = "N", segment: bool = False) -
     return f"WITH{snap_sql(owner, segment)}{body}\n{select}"
 
 
+def wide_suffix(key: Column) -> Column:
+    """Seven digits or more: larger tables get longer suffixes, so that a pattern never
+    gathers keys that have nothing in common."""
+    return F.format_string("%07d", key)
+
+
 # --- current keys, dictionary, ages ---------------------------------------------------
 
 
@@ -224,7 +230,7 @@ def current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), _segment(F.col("p_size")).alias("segment"))
     code = F.lpad(F.col("s_nationkey").cast("string"), 2, "0")
-    digits = suffix7(F.col("key"))
+    digits = wide_suffix(F.col("key"))
     return (
         last.join(part, "key")
         .join(supplier, "l_suppkey")
@@ -244,8 +250,8 @@ def current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 CURRENT_SQL = """
 cur AS (
   SELECT l.key, CAST([800,833,844,855,866,877,888][p.p_size % 7 + 1] AS BIGINT) AS segment,
-         lpad(CAST(l.key % 10000000 AS VARCHAR), 7, '0') AS digits,
-         CAST([800,833,844,855,866,877,888][p.p_size % 7 + 1] AS VARCHAR) || lpad(CAST(l.key % 10000000 AS VARCHAR), 7, '0') AS phone,
+         format('{:07d}', l.key) AS digits,
+         CAST([800,833,844,855,866,877,888][p.p_size % 7 + 1] AS VARCHAR) || format('{:07d}', l.key) AS phone,
          CAST(CASE l.l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS BIGINT) AS status,
          lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') AS owner,
          lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(l.l_suppkey % 1000 AS VARCHAR), 3, '0') AS sub_owner,
@@ -258,7 +264,7 @@ cur AS (
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words per suffix: the name of each part up to size 40, and its brand when the size is even."""
     part = table(spark, sf_dir, "part").where(F.col("p_size") <= 40)
-    digits = suffix7(F.col("p_partkey"))
+    digits = wide_suffix(F.col("p_partkey"))
     names = part.select(
         digits.alias("digits"),
         F.upper("p_name").alias("word"),
@@ -280,11 +286,11 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DICTIONARY_SQL = """
 dict AS (
-  SELECT lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0') AS digits, upper(p_name) AS word, p_type AS category,
+  SELECT format('{:07d}', p_partkey) AS digits, upper(p_name) AS word, p_type AS category,
          'Kind ' || p_type AS label, CASE WHEN p_size <> 7 THEN p_retailprice END AS score,
          CAST(CASE WHEN p_size <> 9 THEN p_size END AS BIGINT) AS word_rank FROM part WHERE p_size <= 40
   UNION ALL
-  SELECT lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0'), upper(p_brand), CASE WHEN p_size % 10 <> 0 THEN p_brand END,
+  SELECT format('{:07d}', p_partkey), upper(p_brand), CASE WHEN p_size % 10 <> 0 THEN p_brand END,
          CASE WHEN p_size % 10 <> 0 THEN 'Brand ' || p_brand END, p_retailprice / 2, CAST(p_size + 50 AS BIGINT)
   FROM part WHERE p_size <= 40 AND p_size % 2 = 0)"""
 
@@ -302,7 +308,7 @@ def key_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = newest.select(F.struct("now", "oldest").alias("e")).scalar()
     return line.join(supplier, "l_suppkey").select(
         F.col("l_partkey").alias("key"),
-        suffix7(F.col("l_partkey")).alias("digits"),
+        wide_suffix(F.col("l_partkey")).alias("digits"),
         F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("owner"),
         F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3).alias("status"),
         F.when(
@@ -314,7 +320,7 @@ def key_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AGES_SQL = """
 ages AS (
-  SELECT l_partkey AS key, lpad(CAST(l_partkey % 10000000 AS VARCHAR), 7, '0') AS digits,
+  SELECT l_partkey AS key, format('{:07d}', l_partkey) AS digits,
          lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS owner, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS status,
          CASE WHEN year(l_shipdate) > (SELECT min(year(l_shipdate)) FROM lineitem) THEN
            (SELECT max(year(l_shipdate) * 12 + month(l_shipdate)) FROM lineitem) - (year(l_shipdate) * 12 + month(l_shipdate)) END AS age_months

@@ -17,8 +17,8 @@ from rollbook.plans.base import (
     key_ages,
     query,
     table,
+    wide_suffix,
 )
-from rollbook.functions.keys import suffix7
 from rollbook.sources import sinks
 
 CUR = f"WITH{CURRENT_SQL},{DICTIONARY_SQL}\n"
@@ -136,10 +136,10 @@ def _(spark, d):
 # --- digit index, labels, vendors -----------------------------------------------------
 
 INDEX_SQL = """
-dindex AS (SELECT lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0') AS digits, upper(p_name) AS term, CASE WHEN p_size % 11 <> 0 THEN p_type END AS category,
+dindex AS (SELECT format('{:07d}', p_partkey) AS digits, upper(p_name) AS term, CASE WHEN p_size % 11 <> 0 THEN p_type END AS category,
   CASE WHEN p_size % 2 = 0 THEN p_brand END AS category_2, CAST(CASE WHEN p_size % 4 <> 0 THEN p_size END AS BIGINT) AS relevance,
   CAST(CASE WHEN p_size % 6 = 0 THEN 0 WHEN p_size % 6 <> 1 THEN p_size END AS BIGINT) AS word_rank, CAST(CASE WHEN p_size % 5 <> 0 THEN 7 ELSE 6 END AS BIGINT) AS term_length FROM part
-  UNION ALL SELECT lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0'), upper(p_brand), 'EXTRA', NULL, CAST(p_size % 3 AS BIGINT), CAST(p_size AS BIGINT), 7 FROM part WHERE p_size % 3 = 0),
+  UNION ALL SELECT format('{:07d}', p_partkey), upper(p_brand), 'EXTRA', NULL, CAST(p_size % 3 AS BIGINT), CAST(p_size AS BIGINT), 7 FROM part WHERE p_size % 3 = 0),
 labs AS (SELECT DISTINCT p_type AS code, 'Kind ' || p_type AS label FROM part WHERE p_type <> 'ECONOMY'
   UNION SELECT DISTINCT p_brand, 'Brand ' || p_brand FROM part WHERE p_brand <> 'Brand#2'),
 dio AS (SELECT *, row_number() OVER (PARTITION BY digits ORDER BY coalesce(relevance, 0) DESC, CASE WHEN coalesce(word_rank, 0) = 0 THEN 1000000 ELSE word_rank END, term) AS ord
@@ -151,7 +151,7 @@ vend AS (SELECT DISTINCT substr(vendor_code, 1, 5) AS sub_owner, vendor_code FRO
 def _digit_index(spark, d):
     part = table(spark, d, "part")
     size = F.col("p_size")
-    digits = suffix7(F.col("p_partkey")).alias("digits")
+    digits = wide_suffix(F.col("p_partkey")).alias("digits")
     main = part.select(
         digits,
         F.upper("p_name").alias("term"),

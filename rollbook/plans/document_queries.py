@@ -283,15 +283,16 @@ def _(spark, d):
 
 @query(
     "flatten_conversations",
-    "SELECT conv_id, trim(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(10) || chr(13) || chr(9) || ' ') AS plain FROM conversations WHERE role <> 'system' GROUP BY 1",
+    """SELECT conv_id, turn, trim(array_to_string([x FOR x IN string_split(text, chr(10)) IF x <> ''], chr(10) || chr(10)), chr(10) || chr(13) || chr(9) || ' ') AS plain
+    FROM conversations""",
 )
 def _(spark, d):
-    """Turns of a conversation as the blocks of one rich text; system turns are no text blocks."""
-    kind = F.when(F.col("role") != "system", "block").otherwise("note")
-    block = F.struct("turn", kind.alias("_type"), F.array(F.struct("text")).alias("children"))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
-    flat = rows.select("conv_id", F.exists("blocks", lambda b: b["_type"] == "block").alias("any"), plain_text(F.col("blocks")).alias("plain"))
-    return flat.where("any").drop("any")
+    """The lines of a turn as the blocks of its rich text; an empty line is no text block."""
+    blocks = F.transform(
+        F.split("text", "\n"),
+        lambda x: F.struct(F.when(x == "", "break").otherwise("block").alias("_type"), F.array(F.struct(x.alias("text"))).alias("children")),
+    )
+    return table(spark, d, "conversations").select("conv_id", "turn", plain_text(blocks).alias("plain"))
 
 
 @query(

@@ -14,6 +14,7 @@ from rollbook.plans.base import (
     raw_lines,
     snapshot,
     table,
+    wide_suffix,
     with_snap,
 )
 from rollbook.session import scratch_path
@@ -212,7 +213,7 @@ def _(spark, d):
 TEXT_SQL = """
 txt AS (SELECT p_partkey AS request_id, s, suffix, CASE p_size % 5 WHEN 0 THEN '1-' || s || '-' || substr(replace(p_name, ' ', ''), 1, 7)
     WHEN 1 THEN '+1 (' || s || ') ' || substr(suffix, 1, 3) || '-' || substr(suffix, 4) WHEN 2 THEN '212-555-1212' WHEN 3 THEN s || suffix ELSE s || '-12' END AS text, p_name, p_size
-  FROM (SELECT *, CAST([800,833,844,855,866,877,888][p_size % 7 + 1] AS VARCHAR) AS s, lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0') AS suffix FROM part)),
+  FROM (SELECT *, CAST([800,833,844,855,866,877,888][p_size % 7 + 1] AS VARCHAR) AS s, format('{:07d}', p_partkey) AS suffix FROM part)),
 nrm AS (SELECT request_id, text, p_size, CASE WHEN p_size % 5 = 0 AND length(replace(p_name, ' ', '')) >= 7 THEN s || translate(upper(substr(replace(p_name, ' ', ''), 1, 7)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '22233344455566677778889999')
     WHEN p_size % 5 IN (1, 3) THEN s || suffix END AS phone FROM txt)"""
 
@@ -221,7 +222,7 @@ def key_texts(spark, d):
     from rollbook.plans.base import _segment
 
     s = _segment(F.col("p_size")).cast("string")
-    suffix = keys.suffix7(F.col("p_partkey"))
+    suffix = wide_suffix(F.col("p_partkey"))
     style = F.col("p_size") % 5
     text = (
         F.when(style == 0, F.concat(F.lit("1-"), s, F.lit("-"), F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 7)))

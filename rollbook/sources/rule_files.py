@@ -101,7 +101,7 @@ def judge_overrides(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     carried = per_block.select("block", F.max("block_max").over(above).alias("carried"))
     inside = Window.partitionBy("block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     running = F.greatest(F.max(valid).over(inside), F.col("carried"))
-    judged = rows.join(F.broadcast(carried), "block").withColumn("running", running)
+    judged = rows.join(carried, "block").withColumn("running", running)
     # a phone equal to the running maximum is already kept; a lower one is a duplicate only if
     # the same phone was kept before, which is so when it was the maximum on its first line
     first = judged.where(~F.col("bad")).groupBy("phone").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.constants import SEGMENTS, STATUS_CODES
+from rollbook.functions.fence import settled
 from rollbook.functions.keys import status_code
 
 
@@ -17,12 +18,14 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def _fields() -> Column:
-    return F.split("value", ",")
+def _split(lines: DataFrame) -> DataFrame:
+    """Fields of each line as column f, split once; all other columns but value are kept."""
+    others = [c for c in lines.columns if c != "value"]
+    return settled(lines.select(*others, F.split("value", ",").alias("f")))
 
 
 def _field(i: int) -> Column:
-    return F.trim(F.get(_fields(), F.lit(i)))
+    return F.trim(F.get("f", F.lit(i)))
 
 
 def parse_snapshot_lines(lines: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def parse_snapshot_lines(lines: DataFrame) -> DataFrame:
     field is not used here.
     """
     others = [c for c in lines.columns if c != "value"]
-    rows = lines.where(F.size(_fields()) >= 5).select(
+    rows = _split(lines).where(F.size("f") >= 5).select(
         *others,
         _field(0).alias("number"),
         _field(1).alias("status"),
@@ -81,13 +84,13 @@ def encode_snapshot(rows: DataFrame) -> DataFrame:
 
 def reject_counts(lines: DataFrame) -> DataFrame:
     """Why lines were dropped or encoded with defaults, as one row of counts."""
-    size = F.size(_fields())
+    size = F.size("f")
     number, code, date = _field(0), _field(4), _field(2)
     short = size < 5
     blank = ~short & ((number == "") | (code == ""))
     usable = ~short & ~blank
-    no_int = F.expr("try_cast(replace(trim(get(split(value, ','), 0)), '-', '') as bigint)").isNull()
-    return lines.agg(
+    no_int = F.expr("try_cast(replace(trim(get(f, 0)), '-', '') as bigint)").isNull()
+    return _split(lines).agg(
         F.count("*").alias("lines"),
         F.count_if(short).alias("too_few_fields"),
         F.count_if(blank).alias("blank_key_or_code"),
@@ -100,7 +103,7 @@ def reject_counts(lines: DataFrame) -> DataFrame:
 def parse_adjust_line(lines: DataFrame) -> DataFrame:
     """Input of the rule cascade: exactly ten digits, template kept, codes may be empty."""
     others = [c for c in lines.columns if c != "value"]
-    rows = lines.where(F.size(_fields()) >= 5).select(
+    rows = _split(lines).where(F.size("f") >= 5).select(
         *others,
         F.regexp_replace(_field(0), "-", "").alias("phone"),
         _field(1).alias("status"),

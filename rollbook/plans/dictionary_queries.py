@@ -19,12 +19,21 @@ from rollbook.plans.base import (
     table,
     wide_suffix,
 )
-from rollbook.sources import sinks
+from rollbook.session import scratch_path
+from rollbook.sources import sinks, tables
 
 CUR = f"WITH{CURRENT_SQL},{DICTIONARY_SQL}\n"
 AGE = f"WITH{AGES_SQL},{DICTIONARY_SQL}\n"
 
 
+@query("scan_dictionary", f"WITH{DICTIONARY_SQL}\nSELECT * FROM dict")
+def _(spark, d):
+    """The dictionary written by someone else and read with the declared types."""
+    path = scratch_path(spark, "dictionary")
+    sinks.write_parquet(dictionary(spark, d), path)
+    return tables.read_dictionary(spark, path)
+
+
 @query(
     "age_buckets",
     AGE

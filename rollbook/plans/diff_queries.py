@@ -140,7 +140,7 @@ def _(spark, d):
     return changed.groupBy("idx").agg(F.count("*").alias("n"))
 
 
-@query("owner_period_rollup", with_snap(ROLLUP_SQL, "SELECT * FROM roll"))
+@query("owner_month_rollup", with_snap(ROLLUP_SQL, "SELECT * FROM roll"))
 def _(spark, d):
     return rollup.owner_period_rollup(*dated(spark, d))
 

@@ -98,3 +98,24 @@ def test_streaming_load_reads_each_file_once(spark, tmp_path):
     got = spark.read.parquet(paths[1]).groupBy("period", "segment").count().orderBy("period").collect()
     assert [tuple(r) for r in got] == [("2025-01", 800, 2), ("2025-02", 833, 1)]
     assert os.path.isdir(os.path.join(paths[1], "period=2025-01"))
+
+
+def test_hot_key_and_hot_owner_stay_exact(spark):
+    """A third of all lines belongs to one key, and a third of all keys to one owner."""
+    from pyspark.sql import Window
+
+    lines = spark.range(90_000).selectExpr("if(id % 3 = 0, 0, id) as key", "id as t", "id % 7 as v")
+    w = Window.partitionBy("key").orderBy(F.desc("t"))
+    newest = lines.withColumn("n", F.row_number().over(w)).where("n = 1")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+    assert newest.count() == 60_001
+    assert newest.where("key = 0").first()["t"] == 89_997
+
+    keys = spark.range(9000).selectExpr(
+        "if(id % 3 = 0, 'AA', concat('B', id % 9)) as owner", "lpad(id, 7, '0') as digits", "id as key", "800 as segment"
+    )
+    words = keys.selectExpr("digits", "concat('W', digits) as word", "'c' as category", "'C' as label", "cast(key as double) as score", "1L as word_rank")
+    top = dictionary.top_hits(dictionary.matches(keys, words), 5)
+    best = [r["key"] for r in top.where("owner = 'AA'").orderBy("ord").collect()]
+    assert best == [8997, 8994, 8991, 8988, 8985]

@@ -17,7 +17,7 @@ import __spark_entry__ as entry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 CHOSEN = (
-    "pair_totals", "owner_period_rollup", "flow_edges", "flow_totals", "five_way_full_outer", "history_timeline", "episode_summary",
+    "pair_totals", "owner_month_rollup", "flow_edges", "flow_totals", "five_way_full_outer", "history_timeline", "episode_summary",
     "topk_per_category", "age_buckets", "adjust_snapshot", "vendor_inventory", "validation_diff", "load_rules", "encode_snapshot",
     "filename_to_month", "category_trajectory", "directory_search", "contact_table", "mailbox_flags", "mention_search",
     "news_payload_normalise", "report_lines", "stacked_series", "key_status_card",

@@ -16,9 +16,10 @@ WORKING, TRANSIT, DISCONN, RESERVED, UNAVAIL, ASSIGNED, SUSPEND = range(1, 8)
 SEGMENTS = (800, 833, 844, 855, 866, 877, 888)
 SEGMENTS_BY_AGE = (800, 888, 877, 866, 855, 844, 833)
 
-# Category slugs with a special meaning.
-HIDDEN_SLUGS = ("hidden", "non-resporg")
-META_SLUGS = ("unknown", "hidden", "non-resporg")
+# Category slugs with a special meaning. Directories with further slugs of the kind, such as
+# one for entries that are no owners, pass their own lists.
+HIDDEN_SLUGS = ("hidden",)
+META_SLUGS = ("unknown", "hidden")
 
 # Thresholds of the reports.
 DORMANT_MAX = 14

@@ -93,23 +93,34 @@ def doc_membership(docs: DataFrame, dim: DataFrame, array: str) -> DataFrame:
     return refs.join(dim.withColumnRenamed("id", "ref"), "ref").select("owner", "slug", "title").distinct()
 
 
-def public_membership(docs: DataFrame, dim: DataFrame, categories: DataFrame, array: str) -> DataFrame:
+def public_membership(
+    docs: DataFrame,
+    dim: DataFrame,
+    categories: DataFrame,
+    array: str,
+    hidden_slugs: Sequence[str] = HIDDEN_SLUGS,
+) -> DataFrame:
     """The same without synthetic owners and without documents tagged hidden.
 
     Skipping is by document, so an owner keeps what its other documents say.
     """
-    hidden_refs = categories.where(F.col("slug").isin(*HIDDEN_SLUGS)).select(F.col("id").alias("ref"))
+    hidden_refs = categories.where(F.col("slug").isin(*hidden_slugs)).select(F.col("id").alias("ref"))
     tagged = explode_refs(docs, "categories").join(hidden_refs, "ref", "left_semi").select("doc_no").distinct()
     seen = docs.where(~F.upper(F.trim("code")).startswith("1")).join(tagged, "doc_no", "left_anti")
     return doc_membership(seen, dim, array)
 
 
-def hidden_owners(docs: DataFrame, categories: DataFrame, override: Sequence[str] = ()) -> DataFrame:
+def hidden_owners(
+    docs: DataFrame,
+    categories: DataFrame,
+    override: Sequence[str] = (),
+    hidden_slugs: Sequence[str] = HIDDEN_SLUGS,
+) -> DataFrame:
     """Owners named by the override list, by the synthetic code rule or by a hidden tag."""
     spark = docs.sparkSession
     owners = docs.select(owner_of(F.col("code")).alias("owner")).where(F.col("owner").isNotNull())
     synthetic = owners.where(F.col("owner").startswith("1"))
-    hidden_refs = categories.where(F.col("slug").isin(*HIDDEN_SLUGS)).select(F.col("id").alias("ref"))
+    hidden_refs = categories.where(F.col("slug").isin(*hidden_slugs)).select(F.col("id").alias("ref"))
     tagged = explode_refs(docs, "categories").join(hidden_refs, "ref", "left_semi").select("owner")
     named = spark.createDataFrame([(o,) for o in override], "owner string")
     return synthetic.unionByName(tagged).unionByName(named).distinct()
@@ -137,6 +148,7 @@ def directory_filter(
     category: str | None = None,
     hidden: str | None = None,
     text: str | None = None,
+    hidden_slugs: Sequence[str] = HIDDEN_SLUGS,
 ) -> DataFrame:
     """First document per owner, narrowed by category slug, hidden 'yes'/'no' and a text."""
     first = first_docs(docs)
@@ -149,7 +161,7 @@ def directory_filter(
     rows = first.join(tags, "doc_no", "left").withColumn(
         "category_slugs", F.coalesce("category_slugs", F.array().cast("array<string>"))
     )
-    is_hidden = F.arrays_overlap("category_slugs", F.array(*[F.lit(s) for s in HIDDEN_SLUGS])) | F.col(
+    is_hidden = F.arrays_overlap("category_slugs", F.array(*[F.lit(s) for s in hidden_slugs])) | F.col(
         "owner"
     ).startswith("1")
     rows = rows.withColumn("is_hidden", is_hidden)
@@ -384,16 +396,21 @@ def category_index(inventory: DataFrame, enrichment: DataFrame, membership: Data
 
 
 def group_rank(inventory: DataFrame, membership: DataFrame) -> DataFrame:
-    """Place of each group by combined inventory and its size against the largest."""
+    """Place of each group by combined inventory and its size against the largest.
+
+    Groups whose members hold nothing are ranked with 0.
+    """
     members = membership.select("group", "owner").distinct()
-    sums = members.join(inventory, "owner").groupBy("group").agg(F.sum("inventory").alias("inventory"))
+    sums = members.join(inventory, "owner", "left").groupBy("group").agg(
+        F.coalesce(F.sum("inventory"), F.lit(0)).alias("inventory")
+    )
     every = Window.partitionBy()
     return sums.select(
         "group",
         "inventory",
         F.row_number().over(Window.orderBy(F.desc("inventory"), "group")).alias("rank"),
         F.count("*").over(every).alias("total"),
-        (F.col("inventory") / F.max("inventory").over(every)).alias("pct"),
+        (F.col("inventory") / F.nullif(F.max("inventory").over(every), F.lit(0))).alias("pct"),
     )
 
 

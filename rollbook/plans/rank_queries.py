@@ -372,7 +372,7 @@ TRAJ_GROUP_SQL = ROLLUP_SQL + f",{GROUPS_SQL}"
     with_snap(
         f"{LATEST_SQL},{GROUPS_SQL}",
         """SELECT "group", n AS inventory, row_number() OVER (ORDER BY n DESC, "group") AS rank, count(*) OVER () AS total,
-        n / max(n) OVER () AS pct FROM (SELECT "group", count(*) AS n FROM latest JOIN gmember USING (owner) GROUP BY 1)""",
+        n / nullif(max(n) OVER (), 0) AS pct FROM (SELECT "group", count(l.owner) AS n FROM gmember g LEFT JOIN latest l ON l.owner = g.owner GROUP BY 1)""",
     ),
 )
 def _(spark, d):

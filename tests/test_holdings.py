@@ -46,8 +46,8 @@ def test_notable(spark):
 
 
 def test_vendor_codes(spark):
-    manifest = spark.createDataFrame([("1RLIFF",), ("AB001",), ("X",)], "vendor_code string")
-    assert {tuple(r) for r in dictionary.vendor_codes(manifest).collect()} == {("1RLIF", "1RLIFF"), ("AB001", "AB001")}
+    manifest = spark.createDataFrame([("9ABCDE",), ("AB001",), ("X",)], "vendor_code string")
+    assert {tuple(r) for r in dictionary.vendor_codes(manifest).collect()} == {("9ABCD", "9ABCDE"), ("AB001", "AB001")}
 
 
 def test_shared_address_of_a_hot_address(spark):
@@ -119,3 +119,12 @@ def test_hot_key_and_hot_owner_stay_exact(spark):
     top = dictionary.top_hits(dictionary.matches(keys, words), 5)
     best = [r["key"] for r in top.where("owner = 'AA'").orderBy("ord").collect()]
     assert best == [8997, 8994, 8991, 8988, 8985]
+
+
+def test_further_hidden_slugs(spark):
+    cats = spark.createDataFrame([("c1", "one", "One"), ("n", "no-owner", "None")], "id string, slug string, title string")
+    docs = spark.createDataFrame([(1, "AB1", [{"_ref": "n"}, {"_ref": "c1"}])], "doc_no long, code string, categories array<struct<_ref: string>>")
+    assert directory.hidden_owners(docs, cats).count() == 0
+    assert directory.hidden_owners(docs, cats, hidden_slugs=("hidden", "no-owner")).count() == 1
+    assert directory.public_membership(docs, cats, cats, "categories", ("no-owner",)).count() == 0
+    assert directory.unknown_and_real(docs, cats, ("one", "no-owner")).count() == 0

@@ -18,19 +18,19 @@ def numbered(spark, *texts):
 
 
 def test_phone_rules_keep_clear_replace_first_match(spark):
-    rows = make(spark, ("8002712222", "WORKING", "25/01/01", "43", "AB001"), ("8002722222", "WORKING", "25/01/01", "43", "AB001"))
+    rows = make(spark, ("8004441111", "WORKING", "25/01/01", "43", "AB001"), ("8004451111", "WORKING", "25/01/01", "43", "AB001"))
     out = rules.apply_phone_rules(
-        rows, [("80027*****", "UNAVAIL", None, "", "ZZ999"), ("800272****", "RESERVED", None, None, None)]
+        rows, [("80044*****", "UNAVAIL", None, "", "ZZ999"), ("800445****", "RESERVED", None, None, None)]
     )
     got = {r["phone"]: tuple(r)[1:5] for r in out.select("phone", "status", "date", "template", "sub_owner").collect()}
-    assert got["8002712222"] == ("UNAVAIL", "25/01/01", "", "ZZ999")
-    assert got["8002722222"] == ("UNAVAIL", "25/01/01", "", "ZZ999")
+    assert got["8004441111"] == ("UNAVAIL", "25/01/01", "", "ZZ999")
+    assert got["8004451111"] == ("UNAVAIL", "25/01/01", "", "ZZ999")
 
 
 def test_status_rule_sees_the_renamed_code(spark):
-    rows = make(spark, ("8002000000", "WORKING", "", "", "HT002"), ("8002000001", "WORKING", "", "", ""))
-    out = rules.apply_status_rules(rules.apply_rename_rules(rows, [("HT***", "GJ001")]), [("GJ0*1", "WORKING", " SUSPEND ")])
-    assert [(r["status"], r["sub_owner"]) for r in out.orderBy("phone").collect()] == [("SUSPEND", "GJ001"), ("WORKING", "")]
+    rows = make(spark, ("8002000000", "WORKING", "", "", "QR002"), ("8002000001", "WORKING", "", "", ""))
+    out = rules.apply_status_rules(rules.apply_rename_rules(rows, [("QR***", "MN001")]), [("MN0*1", "WORKING", " SUSPEND ")])
+    assert [(r["status"], r["sub_owner"]) for r in out.orderBy("phone").collect()] == [("SUSPEND", "MN001"), ("WORKING", "")]
 
 
 def test_cascade_order_and_owner(spark):
@@ -59,15 +59,15 @@ def test_gap_fill(spark):
 
 def test_rule_files(spark):
     text = numbered(
-        spark, "<> head", "800-271-****,UNAVAIL,*,,*      <> why", "800-27,*,*,*,*", "", "8*0*******,*,*,*,AB001", "FILE END", "8002712222,X,*,*,*"
+        spark, "<> head", "800-444-****,UNAVAIL,*,,*      <> why", "800-44,*,*,*,*", "", "8*0*******,*,*,*,AB001", "FILE END", "8004441111,X,*,*,*"
     )
     got = [tuple(r) for r in rule_files.load_phone_rules(text).orderBy("rule_no").collect()]
-    assert got == [(1, "800271****", "UNAVAIL", None, "", None), (4, "8*0*******", None, None, None, "AB001")]
-    names = numbered(spark, "HTC02,GJK01", "HTC0,GJK01", "A***1 , B0001 <> x")
-    assert [tuple(r)[1:] for r in rule_files.load_rename_rules(names).orderBy("rule_no").collect()] == [("HTC02", "GJK01"), ("A***1", "B0001")]
-    states = numbered(spark, "HTC02,WORKING,SUSPEND", "HTC02,*      ,UNAVAIL")
+    assert got == [(1, "800444****", "UNAVAIL", None, "", None), (4, "8*0*******", None, None, None, "AB001")]
+    names = numbered(spark, "QRS02,MNO01", "QRS0,MNO01", "A***1 , B0001 <> x")
+    assert [tuple(r)[1:] for r in rule_files.load_rename_rules(names).orderBy("rule_no").collect()] == [("QRS02", "MNO01"), ("A***1", "B0001")]
+    states = numbered(spark, "QRS02,WORKING,SUSPEND", "QRS02,*      ,UNAVAIL")
     assert [tuple(r)[2:] for r in rule_files.load_status_rules(states).orderBy("rule_no").collect()] == [("WORKING", "SUSPEND"), ("*", "UNAVAIL")]
-    assert rules.collect_rules(rule_files.load_rename_rules(names)) == [("HTC02", "GJK01"), ("A***1", "B0001")]
+    assert rules.collect_rules(rule_files.load_rename_rules(names)) == [("QRS02", "MNO01"), ("A***1", "B0001")]
 
 
 @pytest.mark.parametrize("block", [1, 3, 100])
@@ -132,12 +132,12 @@ def test_bucketed_table_needs_no_shuffle(spark):
 
 
 def test_validation(spark):
-    ours = make(spark, ("1", "A", "d", "t", "GJ"), ("2", "A", "d", "t", "x"), ("3", "B", "d", "t", "y"), ("4", "A", "d", "t", "z"))
+    ours = make(spark, ("1", "A", "d", "t", "MN"), ("2", "A", "d", "t", "x"), ("3", "B", "d", "t", "y"), ("4", "A", "d", "t", "z"))
     theirs = make(spark, ("1", "A", "d", "t", "ND"), ("2", "A ", "d", "t", "x"), ("3", "A", "d", "t", "q"), ("5", "A", "d", "t", "z"))
     found = validate.difference(validate.align(ours, theirs))
     assert {r["phone"]: r["finding"] for r in found.collect()} == {
         "1": "sub_owner", "2": "equal", "3": "status+sub_owner", "4": "only_ours", "5": "only_theirs",
     }
-    v = validate.verdict(found, "GJ").first()
+    v = validate.verdict(found, "MN").first()
     assert (v["equal"], v["differing"], v["expected"], v["passed"]) == (1, 2, 1, False)
-    assert validate.verdict(found.where("phone in ('1', '2')"), "GJ").first()["passed"]
+    assert validate.verdict(found.where("phone in ('1', '2')"), "MN").first()["passed"]

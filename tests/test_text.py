@@ -40,8 +40,8 @@ def test_file_names(spark):
     }
     assert column(spark, list(want), files.month_from_name) == list(want.values())
     names = {
-        "SMS800.D20180301.txt": 800, "CD-ROM_TFN_Report_844_20250601061856.txt": 844, "Number-Status-NPA-833.txt": 833,
-        "cd-rom_tfn_report_888_x-UPDATED102323.TXT": 888, "SMS801.txt": None, "Report_800.txt": None,
+        "SMS800.D20180301.txt": 800, "CD-ROM_TFN_Report_844_20250601000000.txt": 844, "Number-Status-NPA-833.txt": 833,
+        "cd-rom_tfn_report_888_x-UPDATED010101.TXT": 888, "SMS801.txt": None, "Report_800.txt": None,
     }
     assert column(spark, list(names), files.segment_from_name) == list(names.values())
 
@@ -56,13 +56,13 @@ def test_best_source(spark):
 
 def test_address(spark):
     texts = [
-        "33 Regency Drive  Poughkeepsie New York, USA 12603 800-627-5383", "12 King St Toronto ON, Canada M5V 2T6",
+        "77 Example Drive  Rivertown New York, USA 12999 800-555-0100", "12 King St Toronto ON, Canada M5V 2T6",
         "5 Elm Rd Charleston West Virginia, USA 25301", "po box 7", "", None, "9 Long Wide Oak Street Big City Texas, USA",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, a string")
     got = [tuple(r)[1:] for r in split_address(df, "a").select("i", "street", "city", "state", "country", "zip", "phone").orderBy("i").collect()]
     assert got == [
-        ("33 Regency Drive", "Poughkeepsie", "New York", "USA", "12603", "800-627-5383"),
+        ("77 Example Drive", "Rivertown", "New York", "USA", "12999", "800-555-0100"),
         ("12", "King St Toronto", "ON", "Canada", "M5V 2T6", ""),
         ("5", "Elm Rd Charleston", "West Virginia", "USA", "25301", ""),
         ("po box 7", "", "", "", "", ""),

@@ -26,7 +26,7 @@ from rollbook.plans.base import (
     snapshot,
     with_snap,
 )
-from rollbook.plans.rank_queries import ENDS_SQL, LATEST_SQL, MATCH_SQL, _enrichment, _rollup
+from rollbook.plans.rank_queries import LATEST_SQL, MATCH_SQL, _enrichment, _rollup
 
 DOCS = f"WITH{DOCS_SQL}\n"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from rollbook.operators import contacts, directory, episodes, flows, profile, ranks, rollup
 from rollbook.plans.base import (
     CURRENT_SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,14 @@ def content_key(text: Column) -> list[Column]:
     return [F.xxhash64(F.lit("a"), text).alias("k1"), F.xxhash64(F.lit("b"), text).alias("k2")]
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver has it, if it was not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with state made once in each task: `make()` returns what turns batch into batch."""
 
@@ -51,4 +60,5 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             if out is not None and out.num_rows:
                 yield out
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)

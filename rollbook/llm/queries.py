@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe, decontaminate, minhash, pii, secrets
+from rollbook.llm import bpe, decontaminate, minhash, order_minhash, pii, secret_scan
 from rollbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,11 @@ def query(f):
     return f
 
 
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
@@ -33,7 +38,7 @@ def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 @query

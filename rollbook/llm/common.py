@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-cased words; ASCII punctuation counts as space."""
+    return (text or "").lower().encode("utf-8").translate(_SPACE).split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

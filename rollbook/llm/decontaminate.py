@@ -23,14 +23,12 @@ places of one item in one document the best is named. Empty tables give empty re
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import arrow_rows, text_of
+from rollbook.llm.common import arrow_rows, plain_words, text_of
 
 #: The word offsets each mask reads. The first serves long items, the others short ones.
 LONG_MASKS = ((0, 1, 3, 6, 7),)
@@ -42,16 +40,11 @@ BLOCK_WORDS = 400_000
 #: Words of the documents that are hashed at once.
 CHUNK = 200_000
 
-_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _U64 = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BITS = 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8").translate(_SPACE).split()
-
-
 def _hashes(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = max(len(ids) - mask[-1], 0)
     total = np.full(n, mask[-1], np.uint64)
@@ -69,7 +62,7 @@ class Index:
         numbers: dict[bytes, int] = {}
         self.item_ids, flat, starts = [], [], [0]
         for item_id, text in items:
-            words = words_of(text)
+            words = plain_words(text)
             if len(words) >= SHORTEST:
                 flat += [numbers.setdefault(w, len(numbers) + 1) for w in words]
                 starts.append(len(flat))
@@ -137,7 +130,7 @@ class Index:
 
         size = 0
         for n, text in enumerate(texts):
-            ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
+            ids = np.array([get(w, 0) for w in plain_words(text)], np.uint64)
             if np.count_nonzero(ids) >= SHORTEST - 1:
                 parts.append((n, ids))
                 size += len(ids)

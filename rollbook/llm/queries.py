@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe, decontaminate, minhash, order_minhash, pii, secret_scan, toxicity
+from rollbook.llm import bpe, decontaminate, minhash, order_minhash, pii, secret_scan, site_style, toxicity
 from rollbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe, decontaminate, minhash, order_minhash, pii, secret_scan, site_style, toxicity
+from rollbook.llm import bpe, decontaminate, minhash, order_minhash, pii, secret_scan, site_style, suffix_dedup, toxicity
 from rollbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,11 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))

@@ -224,8 +224,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return arrow_rows(encoded.select("doc_id", "ids"), make, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every whole text, decodes its ids again, and returns the digests of both in one pass."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes every whole text, decodes its ids again, and returns the digests of both in one
+    pass; on demand the ids as well."""
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def sha(data: bytes) -> str:
@@ -235,18 +236,22 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         own = codec(raw.value, pattern)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, flat = [], [], [], []
             for text in batch.column("text"):
                 ids = own.encode(text.as_py())
                 counts.append(len(ids))
+                if with_ids:
+                    flat.append(np.array(ids, np.int32))
                 ids_sha.append(sha(own.spelled(ids).encode()))
                 decoded_sha.append(sha(own.decode(ids)))
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            if with_ids:
+                offsets = pa.array(np.cumsum([0, *counts]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32())))
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return each
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
     return arrow_rows(_source(docs, id_col, text_col), make, schema)

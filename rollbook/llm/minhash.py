@@ -238,8 +238,8 @@ def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2 (content key), n_shingles, component_id, kept of every row."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = written(sketches(source), "sketches")
     roots = components(links(source, sketched))
@@ -247,6 +247,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(heads, "root").select("cls", "component_id")
-    rows = sketched.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
+    rows = sketched.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return rows.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return judged(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group with all its columns; of equal rows one stays.
+
+    What goes is written first, so Spark joins it to the documents as its size allows.
+    """
+    rows = judged(docs, id_col, text_col)
+    rows = rows.groupBy("doc_id", "k1", "k2").agg(F.first("kept").alias("kept"), F.count("*").alias("c"))
+    marked = written(rows.where("not kept or c > 1"), "gone")
+    k1, k2 = content_key(text_of(text_col))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__k1": k1, "__k2": k2})
+
+    def same(table: DataFrame) -> F.Column:
+        return keyed["__id"].eqNullSafe(table["doc_id"]) & (keyed["__k1"] == table["k1"]) & (keyed["__k2"] == table["k2"])
+
+    single = keyed.join(marked, same(marked), "left_anti")
+    several = marked.where("kept")
+    once = keyed.join(several, same(several), "left_semi").dropDuplicates(["__id", "__k1", "__k2"])
+    return single.union(once).drop("__id", "__k1", "__k2")

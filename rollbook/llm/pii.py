@@ -149,9 +149,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPP
     return conf.select("pattern", per_kind.alias("x")).select("pattern", "x.*").where(F.col("confidence") >= TRUST)
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: float = SUPPORT) -> DataFrame:
-    """doc_id, content key, `base` and `found` (all spans) as arrays of (s, o, e, kind)."""
-    rows = written(marked(docs, id_col, text_col), "pii-items")
+def discovered(rows: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT) -> DataFrame:
+    """(k1, k2, more): spans beyond the base ones, by the content key of the text."""
     items = rows.select("k1", "k2", F.explode("items").alias("x")).select("k1", "k2", "x.s", "x.e", "x.v", "x.kind", F.explode("x.patterns").alias("pattern"))
     edges = items.groupBy("pattern", "v").agg(F.max("kind").alias("kind"))
     trusted = score_patterns(edges, rounds, support)
@@ -162,9 +161,40 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     # one kind per token: that of the most confident pattern
     one = new.groupBy("k1", "k2", "s", "e").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
     span = F.struct("s", place.alias("o"), "e", "kind")
-    more = one.groupBy("k1", "k2").agg(F.collect_set(span).alias("more"))
-    all_ = F.concat("base", F.coalesce("more", sp.tagged(F.expr(sp.NONE), "", 0)))
-    return rows.drop("items").join(more, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", F.array_sort(all_).alias("found"))
+    return one.groupBy("k1", "k2").agg(F.collect_set(span).alias("more"))
+
+
+def _all(base: Column) -> Column:
+    return F.array_sort(F.concat(base, F.coalesce("more", sp.tagged(F.expr(sp.NONE), "", 0))))
+
+
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: float = SUPPORT) -> DataFrame:
+    """doc_id, content key, `base` and `found` (all spans) as arrays of (s, o, e, kind)."""
+    rows = written(marked(docs, id_col, text_col), "pii-items")
+    more = discovered(rows, rounds, support)
+    return rows.drop("items").join(more, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", _all(F.col("base")).alias("found"))
+
+
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The documents with every span in the text replaced by its kind, and the length set anew.
+
+    All other columns stay. What the bootstrap found is written first, so Spark joins it to
+    the documents as its size allows; base spans are found again in the pass that replaces.
+    """
+    more = written(discovered(written(marked(docs.select(F.lit(0).alias("doc_id"), text_of(text_col).alias("text"))), "pii-items")), "pii-more")
+    k1, k2 = content_key(text_of(text_col))
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    more = more.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("more").alias("__more"))
+    base = F.array_sort(base_spans(text_of(text_col)))
+    found = F.array_sort(F.concat(base, F.coalesce("__more", sp.tagged(F.expr(sp.NONE), "", 0))))
+    rows = keyed.join(more, ["__k1", "__k2"], "left").withColumn("__found", found)
+    new = F.when(F.size("__found") > 0, redacted(F.col(text_col), F.col("__found"))).otherwise(F.col(text_col))
+    rows = rows.withColumn("__new", new)
+    out = [F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    if chars_col in docs.columns:
+        length = F.when(F.size("__found") > 0, F.length("__new")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+        out[docs.columns.index(chars_col)] = length.alias(chars_col)
+    return rows.select(*out)
 
 
 def digests(extracted: DataFrame) -> DataFrame:

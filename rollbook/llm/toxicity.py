@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.common import arrow_rows, importable, plain_words, text_of
 
+#: Kind of all weights and states.
+REAL = np.float32
 #: Labelled rows of each kind that training takes at most.
 POSITIVE, NEGATIVE = 1200, 2400
 FOLDS, CALIBRATE = 5, 5
@@ -76,37 +78,43 @@ class Reader:
         half = 3 * self.hidden
         return np.stack([inputs[:, :, :half], inputs[:, ::-1, half:]])
 
-    def states(self, inputs: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def states(self, inputs: np.ndarray, there: np.ndarray | None, keep: list | None = None) -> np.ndarray:
+        """A step that is not there leaves the state as it is, so padding changes nothing."""
         h, u = self.hidden, self.w[self.name + "_own"]
-        state = np.zeros((2, inputs.shape[1], h), np.float32)
-        out = np.empty((*inputs.shape[:3], h), np.float32)
+        state = np.zeros((2, inputs.shape[1], h), REAL)
+        out = np.empty((*inputs.shape[:3], h), REAL)
         for t in range(inputs.shape[2]):
             x, own = inputs[:, :, t], state @ u
             gates = _sigmoid(x[..., : 2 * h] + own[..., : 2 * h])
             reset, hold = gates[..., :h], gates[..., h:]
             new = np.tanh(x[..., 2 * h :] + reset * own[..., 2 * h :])
+            move = 1 - hold if there is None else (1 - hold) * there[:, :, t]
             if keep is not None:
-                keep.append((state, own, reset, hold, new))
-            state = new + hold * (state - new)
+                keep.append((state, own, reset, hold, new, move))
+            state = state + move * (new - state)
             out[:, :, t] = state
         return out
 
     def pool(self, out: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Attention over the steps that are there: pooled (batch, 2 hidden), weights, joined states."""
         joined = np.concatenate([out[0], out[1][:, ::-1]], axis=2)
-        odds = np.where(there, joined @ self.w[self.name + "_look"], np.float32(-30))
+        odds = np.where(there, joined @ self.w[self.name + "_look"], REAL(-30))
         weight = np.exp(odds - odds.max(axis=1, keepdims=True))
         weight /= weight.sum(axis=1, keepdims=True)
         return (weight[:, None] @ joined)[:, 0], weight, joined
 
     def read(self, inputs: np.ndarray, there: np.ndarray) -> np.ndarray:
-        return self.pool(self.states(self.both(inputs)), there)[0]
+        every = None if there.all() else self.both_there(there)
+        return self.pool(self.states(self.both(inputs), every), there)[0]
+
+    def both_there(self, there: np.ndarray) -> np.ndarray:
+        return np.stack([there, there[:, ::-1]])[..., None].astype(REAL)
 
     def learn(self, inputs: np.ndarray, there: np.ndarray):
         """Pooled vectors, and a function from their gradients to those of the inputs."""
         keep: list = []
-        directions = self.both(inputs)
-        pooled, weight, joined = self.pool(self.states(directions, keep), there)
+        directions, every = self.both(inputs), self.both_there(there)
+        pooled, weight, joined = self.pool(self.states(directions, every, keep), there)
 
         def back(d_pooled: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
             h, name, u = self.hidden, self.name, self.w[self.name + "_own"]
@@ -118,15 +126,15 @@ class Reader:
             d_in, d_u = np.empty_like(directions), np.zeros_like(u)
             d_state = np.zeros_like(d_out[:, :, 0])
             for t in range(d_out.shape[2] - 1, -1, -1):
-                state, own, reset, hold, new = keep[t]
+                state, own, reset, hold, new, move = keep[t]
                 d_state = d_state + d_out[:, :, t]
-                d_new = d_state * (1 - hold) * (1 - new * new)
-                d_hold = d_state * (state - new) * hold * (1 - hold)
+                d_new = d_state * move * (1 - new * new)
+                d_hold = d_state * (state - new) * hold * move
                 d_reset = d_new * own[..., 2 * h :] * reset * (1 - reset)
                 d_in[:, :, t] = np.concatenate([d_reset, d_hold, d_new], axis=2)
                 d_own = np.concatenate([d_reset, d_hold, d_new * reset], axis=2)
                 d_u += state.transpose(0, 2, 1) @ d_own
-                d_state = d_state * hold + d_own @ u.transpose(0, 2, 1)
+                d_state = d_state * (1 - move) + d_own @ u.transpose(0, 2, 1)
             grads[name + "_own"] += d_u
             return np.concatenate([d_in[0], d_in[1][:, ::-1]], axis=2)
 
@@ -144,9 +152,9 @@ class Model:
                 "words_in": (WORD_DIM + 2 * CHAR_HIDDEN, 6 * HIDDEN), "words_bias": (6 * HIDDEN,), "words_own": (2, HIDDEN, 3 * HIDDEN), "words_look": (2 * HIDDEN,),
                 "odds": (2 * HIDDEN,), "odds_bias": (1,),
             }
-            weights = {k: (rng.standard_normal(s) * (0.0 if "bias" in k else 0.1 if k == "word" else 0.35)).astype(np.float32) for k, s in shape.items()}
+            weights = {k: (rng.standard_normal(s) * (0.0 if "bias" in k else 0.1 if k == "word" else 0.35)).astype(REAL) for k, s in shape.items()}
             weights["odds_bias"] -= 2
-            weights["cut"] = np.zeros(1, np.float32)
+            weights["cut"] = np.zeros(1, REAL)
         self.weights = weights
         self.chars, self.words = Reader(weights, "chars", CHAR_HIDDEN), Reader(weights, "words", HIDDEN)
 
@@ -155,7 +163,7 @@ class Model:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """Projected input of the word reader for each word, by groups of like length."""
-        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        out = np.empty((len(words), 6 * HIDDEN), REAL)
         sizes = np.array([len(w) for w in words])
         by_letter = self.chars.project(self.weights["letter"])
         order = np.argsort(sizes, kind="stable")
@@ -182,9 +190,9 @@ class Model:
         read, back_chars = self.chars.learn(self.chars.project(w["letter"])[ids], ids > 0)
         known = self.known(unique)
         x = np.concatenate([w["word"][known], read], axis=1)
-        padded = np.concatenate([self.words.project(x), np.zeros((1, 6 * HIDDEN), np.float32)])
+        padded = np.concatenate([self.words.project(x), np.zeros((1, 6 * HIDDEN), REAL)])
         pooled, back_words = self.words.learn(padded[index], index < len(unique))
-        d_odds = ((_sigmoid(self.odds(pooled)) - labels) / len(labels)).astype(np.float32)
+        d_odds = ((_sigmoid(self.odds(pooled)) - labels) / len(labels)).astype(REAL)
         grads["odds"] += pooled.T @ d_odds
         grads["odds_bias"] += d_odds.sum()
         d_steps = back_words(d_odds[:, None] * w["odds"], grads)
@@ -196,7 +204,7 @@ class Model:
         d_x = d_project @ w["words_in"].T
         np.add.at(grads["word"], known, d_x[:, :WORD_DIM])
         d_letters = back_chars(np.ascontiguousarray(d_x[:, WORD_DIM:]), grads)
-        by_letter = np.zeros((256, 6 * CHAR_HIDDEN), np.float32)
+        by_letter = np.zeros((256, 6 * CHAR_HIDDEN), REAL)
         np.add.at(by_letter, ids.ravel(), d_letters.reshape(-1, 6 * CHAR_HIDDEN))
         grads["chars_in"] += w["letter"].T @ by_letter
         grads["chars_bias"] += by_letter.sum(axis=0)
@@ -216,7 +224,7 @@ class Scorer:
 
     def _reset(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.table = np.zeros((1, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((1, 6 * HIDDEN), REAL)
 
     def _add(self, words: list[bytes]) -> None:
         if len(self.memo) + len(words) > MEMO:
@@ -242,7 +250,7 @@ class Scorer:
         begin = np.concatenate([[0], np.cumsum(sizes)])
         place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         start, end = begin[owner] + place * STEP, begin[owner + 1]
-        scores = np.empty(len(owner), np.float32)
+        scores = np.empty(len(owner), REAL)
         for at in range(0, len(owner), WIDTH):
             index = start[at : at + WIDTH, None] + np.arange(WINDOW)
             there = index < end[at : at + WIDTH, None]
@@ -318,7 +326,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
         for at in range(0, len(chosen), BATCH):
             batch = chosen[at : at + BATCH]
             grads = {k: np.zeros_like(v) for k, v in model.weights.items()}
-            model.step([split[n][s : s + WINDOW] for n, s in batch], labels[[n for n, _ in batch]].astype(np.float32), grads)
+            model.step([split[n][s : s + WINDOW] for n, s in batch], labels[[n for n, _ in batch]].astype(REAL), grads)
             step += 1
             rate = RATE * min(1.0, 1.3 - number / rounds)
             for k, g in grads.items():
@@ -362,8 +370,8 @@ def fitted(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negativ
     texts = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
     def run(parts):
-        frame = pd.concat(list(parts))
-        frame = frame.sort_values("doc_id")
+        parts = list(parts)
+        frame = pd.concat(parts).sort_values("doc_id") if parts else pd.DataFrame({"text": [], "toxic": []})
         y = frame["toxic"].to_numpy(np.int64)
         model = train(frame["text"].tolist(), y) if 0 < y.sum() < len(y) else None
         yield pd.DataFrame({"model": [pickle.dumps((model.vocabulary, model.weights)) if model else b""]})

@@ -124,12 +124,13 @@ def top_words(matched: DataFrame, k: int = 60) -> DataFrame:
         "owner", "category", "key", "word", "score", "word_rank"
     )
     # the two rankings as one: an 'all' copy of every row beside its own category
-    tagged = scored.withColumn("lists", F.array_compact(F.array(F.lit(""), F.concat(F.lit("c"), F.col("category")))))
-    rows = tagged.select("owner", F.explode("lists").alias("list"), "key", "word", "score", "word_rank")
-    w = Window.partitionBy("owner", "list").orderBy(*_best_first())
+    own = F.struct(F.lit(False).alias("is_all"), F.col("category").alias("category"))
+    every = F.struct(F.lit(True).alias("is_all"), F.lit(None).cast("string").alias("category"))
+    lists = F.array_compact(F.array(every, F.when(F.col("category").isNotNull(), own)))
+    rows = scored.withColumn("list", F.explode(lists)).select("owner", "list.*", "key", "word", "score", "word_rank")
+    w = Window.partitionBy("owner", "is_all", "category").orderBy(*_best_first())
     best = rows.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
-    category = F.when(F.col("list") != "", F.substring(F.col("list"), 2, 1000))
-    return best.select("owner", category.alias("category"), "key", "word", "ord")
+    return best.select("owner", "category", "key", "word", "ord")
 
 
 def best_word(dictionary: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def vendor_inventory(
     adjusted: DataFrame, manifest: DataFrame, index: DataFrame, labels: DataFrame, statuses: tuple[str, ...]
 ) -> DataFrame:
     """All category matches of every salable key; keys without a match stay with NULLs."""
-    rows = salable(adjusted, manifest, statuses).withColumn("digits", F.substring("phone", 4, 7))
+    rows = salable(adjusted, manifest, statuses).withColumn("digits", F.substring("phone", F.lit(4), F.length("phone")))
     terms = digit_index_order(index).select("digits", "term", "category", "category_2", "relevance")
     joined = category_labels(rows.join(terms, "digits", "left"), labels)
     return joined.select(
@@ -209,7 +210,7 @@ def vendor_inventory(
 def lookup_table(adjusted: DataFrame, dictionary: DataFrame, scan_month: str) -> DataFrame:
     """Adjusted keys that spell a word, with the best word of their suffix."""
     best = best_word(dictionary).select("digits", "word", "category", "label", "word_rank", "score")
-    rows = adjusted.withColumn("digits", F.substring("phone", 4, 7)).join(best, "digits")
+    rows = adjusted.withColumn("digits", F.substring("phone", F.lit(4), F.length("phone"))).join(best, "digits")
     return rows.select(
         F.col("phone").alias("digit_number"),
         F.concat_ws("-", F.substring("phone", 1, 3), F.col("word")).alias("word_form"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.constants import DORMANT_MAX
-from rollbook.functions.keys import normalize_key, segment_form, status_name
+from rollbook.functions.keys import SUFFIX_DIGITS, normalize_key, segment_form, status_name
 
 
 def rank_label(rank: Column, total: Column) -> Column:
@@ -55,14 +55,14 @@ def owner_profile(
     )
 
 
-def key_status_card(requests: DataFrame, current: DataFrame, names: DataFrame) -> DataFrame:
+def key_status_card(requests: DataFrame, current: DataFrame, names: DataFrame, longest: int | None = SUFFIX_DIGITS) -> DataFrame:
     """What the newest snapshot says about each requested key.
 
     requests is (request_id, text, owner); texts that are no key and keys that are not found
     give no row. The join is by key; a key asked for by many requests is no problem because
     current has it once.
     """
-    wanted = requests.select("request_id", normalize_key(F.col("text")).alias("phone"), F.col("owner").alias("asked"))
+    wanted = requests.select("request_id", normalize_key(F.col("text"), longest).alias("phone"), F.col("owner").alias("asked"))
     found = wanted.where(F.col("phone").isNotNull()).join(current, "phone")
     named = found.join(F.broadcast(names.select("owner", "name")), "owner", "left")
     return named.select(

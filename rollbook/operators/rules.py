@@ -1,31 +1,24 @@
 """The adjustment cascade: four ordered rule passes over snapshot and gap-filled rows.
 
-Pattern rules are few (below a hundred), so each pass becomes one CASE expression that finds
-the number of the first matching rule; no row is joined with the rule table. The exact
-overrides are many and are joined by key.
+Rules given as Python tuples become one flat CASE that finds the first matching rule. Rules
+given as a table, of any number, are joined: a pattern is its mask (which positions are
+fixed) and its fixed characters, so each distinct text has one key per mask and meets the
+rules on equal keys; the first rule is the least number over all masks. Distinct masks are
+few by nature (at most two to the power of the pattern's length) and only those are
+collected. The exact overrides are joined by key.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.constants import SEGMENTS
 from rollbook.functions.fence import settled
-from rollbook.functions.keys import SUFFIX_SPAN, ten_digits
-
-MAX_PATTERN_RULES = 1000
-
-
-def collect_rules(rules: DataFrame) -> list[tuple]:
-    """Rules in file order. A rule file is small by nature; a large one is refused."""
-    rows = rules.orderBy("rule_no").limit(MAX_PATTERN_RULES + 1).collect()
-    if len(rows) > MAX_PATTERN_RULES:
-        raise ValueError(f"more than {MAX_PATTERN_RULES} pattern rules")
-    return [tuple(r)[1:] for r in rows]
-
+from rollbook.functions.keys import suffix_text
 
 def matches_pattern(text: Column, pattern: str) -> Column:
     """Equal length and equal characters where the pattern has no '*'."""
@@ -44,21 +37,67 @@ def matches_pattern(text: Column, pattern: str) -> Column:
 
 
 def first_match(conditions: Sequence[Column]) -> Column:
-    """1-based number of the first condition that holds, or NULL."""
-    out = F.lit(None).cast("int")
-    for n, condition in reversed(list(enumerate(conditions, start=1))):
-        out = F.when(condition, n).otherwise(out)
+    """1-based number of the first condition that holds, or NULL; flat, so of any length."""
+    if not conditions:
+        return F.lit(None).cast("int")
+    out = F.when(conditions[0], 1)
+    for n, condition in enumerate(conditions[1:], start=2):
+        out = out.when(condition, n)
     return out
 
 
+def _mask_key(text: Column, mask: str) -> Column:
+    """Mask and the characters at its fixed positions; NULL for a text of another length."""
+    runs = [F.substring(text, m.start() + 1, len(m[0])) for m in re.finditer("#+", mask)]
+    return F.when(F.length(text) == len(mask), F.concat(F.lit(mask), *runs))
+
+
+def first_rules(rows: DataFrame, rules: DataFrame, text: str, status: str | None = None) -> DataFrame:
+    """The rows with the columns of the first rule that fits as struct `rule`, NULL if none does.
+
+    rules: rule_no, pattern and further columns. With a status column the rule's own `status`
+    has to be '*' or equal as well. Rows with one text are matched once.
+    """
+    mask = F.regexp_replace("pattern", "[^*]", "#")
+    asked = F.trim("status") if status else F.lit("*")
+    keyed = rules.select(
+        F.concat(mask, F.replace("pattern", F.lit("*"), F.lit("")), F.lit("|"), asked).alias("rule_key"),
+        "rule_no",
+        F.struct(*rules.columns).alias("rule"),
+    )
+    # of the rules with one key only the first can ever fit
+    first = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("rule_key").orderBy("rule_no"))).where("nth = 1").drop("nth")
+    masks = [r[0] for r in rules.select(mask.alias("mask")).distinct().orderBy("mask").collect() if r[0] is not None]
+    own = [F.col(text).alias("rule_text")] + ([F.trim(status).alias("rule_status")] if status else [])
+    texts = rows.select(*own).distinct()
+    keys = [_mask_key(F.col("rule_text"), m) for m in masks]
+    endings = [F.lit("|*")] + ([F.concat(F.lit("|"), F.col("rule_status"))] if status else [])
+    every = F.array_compact(F.array(F.lit(None).cast("string"), *[F.concat(k, e) for k in keys for e in endings]))
+    names = ["rule_text"] + (["rule_status"] if status else [])
+    met = texts.select(*names, F.explode(F.array_distinct(every)).alias("rule_key")).join(first, "rule_key")
+    nearest = Window.partitionBy(*names).orderBy("rule_no")
+    best = met.withColumn("nth", F.row_number().over(nearest)).where("nth = 1").select(*names, "rule")
+    condition = rows[text] == best["rule_text"]
+    if status:
+        condition = condition & (F.trim(rows[status]) == best["rule_status"])
+    return rows.join(best, condition, "left").drop(*names)
+
+
 def _replace(column: str, hit: Column, values: Sequence[str | None]) -> Column:
     """Value of the matching rule; NULL in the rule or no rule keeps the column."""
     options = F.array(*[F.lit(v).cast("string") for v in values])
     return F.coalesce(F.get(options, hit - 1), F.col(column))
 
 
-def apply_phone_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """rules: (pattern, status, date, template, code)."""
+def _from_rules(rows: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Values of the struct `rule` in place of the columns; NULL in the rule keeps a column."""
+    return rows.withColumns({c: F.coalesce(F.col(f"rule.{r}"), F.col(c)) for c, r in targets.items()}).drop("rule")
+
+
+def apply_phone_rules(rows: DataFrame, rules: Sequence[tuple] | DataFrame) -> DataFrame:
+    """rules: (pattern, status, date, template, code), or a table of `load_phone_rules`."""
+    if isinstance(rules, DataFrame):
+        return _from_rules(first_rules(rows, rules, "phone"), {"status": "status", "date": "date", "template": "template", "sub_owner": "code"})
     if not rules:
         return rows
     hit = first_match([matches_pattern(F.col("phone"), r[0]) for r in rules])
@@ -70,19 +109,25 @@ def apply_phone_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     )
 
 
-def apply_rename_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """rules: (pattern, code). An empty code has not five characters and so never matches."""
+def apply_rename_rules(rows: DataFrame, rules: Sequence[tuple] | DataFrame) -> DataFrame:
+    """rules: (pattern, code), or a table of `load_rename_rules`. An empty code has not five
+    characters and so never matches."""
+    if isinstance(rules, DataFrame):
+        return _from_rules(first_rules(rows, rules, "sub_owner"), {"sub_owner": "code"})
     if not rules:
         return rows
     hit = first_match([matches_pattern(F.col("sub_owner"), r[0]) for r in rules])
     return rows.withColumn("sub_owner", _replace("sub_owner", hit, [r[1] for r in rules]))
 
 
-def apply_status_rules(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """rules: (pattern, status or '*', new status), tested on the code after renaming.
+def apply_status_rules(rows: DataFrame, rules: Sequence[tuple] | DataFrame) -> DataFrame:
+    """rules: (pattern, status or '*', new status), tested on the code after renaming, or a
+    table of `load_status_rules`.
 
     Every test mentions the code, so the rename expression is settled first.
     """
+    if isinstance(rules, DataFrame):
+        return _from_rules(first_rules(rows, rules, "sub_owner", "status"), {"status": "new_status"})
     if not rules:
         return rows
 
@@ -102,8 +147,10 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.withColumn("sub_owner", F.coalesce("override", "sub_owner")).drop("override")
 
 
-def wildcard_rule_join(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
+def wildcard_rule_join(rows: DataFrame, rules: Sequence[tuple] | DataFrame) -> DataFrame:
     """Number of the first phone pattern that fits each row, NULL if none does."""
+    if isinstance(rules, DataFrame):
+        return first_rules(rows, rules, "phone").withColumn("rule_no", F.col("rule.rule_no")).drop("rule")
     return rows.withColumn("rule_no", first_match([matches_pattern(F.col("phone"), r[0]) for r in rules]))
 
 
@@ -115,8 +162,8 @@ def key_space(
     ids = spark.range(span * len(segments))
     codes = F.array(*[F.lit(s) for s in segments])
     segment = F.get(codes, (F.floor(F.col("id") / span)).cast("int"))
-    number = segment.cast("long") * SUFFIX_SPAN + low + F.col("id") % span
-    return ids.select(ten_digits(number).alias("phone"))
+    suffix = suffix_text(F.lit(low) + F.col("id") % span)
+    return ids.select(F.concat(segment.cast("string"), suffix).alias("phone"))
 
 
 def gap_fill(rows: DataFrame, low: int, high: int, order: str, segments: Sequence[int] = SEGMENTS) -> DataFrame:
@@ -126,7 +173,9 @@ def gap_fill(rows: DataFrame, low: int, high: int, order: str, segments: Sequenc
     the shuffle. Rows outside the key space are dropped.
     """
     fields = ("status", "date", "template", "sub_owner")
-    first = rows.groupBy("phone").agg(F.min_by(F.struct(*fields), order).alias("r"))
+    # a row number of one keeps a single row per phone and task before the shuffle
+    newest = Window.partitionBy("phone").orderBy(order, *fields)
+    first = rows.withColumn("nth", F.row_number().over(newest)).where("nth = 1").select("phone", F.struct(*fields).alias("r"))
     filled = key_space(rows.sparkSession, low, high, segments).join(first, "phone", "left")
     found = F.col("r").isNotNull()
     return filled.select(
@@ -138,9 +187,9 @@ def gap_fill(rows: DataFrame, low: int, high: int, order: str, segments: Sequenc
 
 def adjust_snapshot(
     rows: DataFrame,
-    phone_rules: Sequence[tuple],
-    rename_rules: Sequence[tuple],
-    status_rules: Sequence[tuple],
+    phone_rules: Sequence[tuple] | DataFrame,
+    rename_rules: Sequence[tuple] | DataFrame,
+    status_rules: Sequence[tuple] | DataFrame,
     overrides: DataFrame,
 ) -> DataFrame:
     """All four passes in order; the owner is read from the final code."""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rollbook.constants import SEGMENTS
 from rollbook.functions.calendar import quarter_of
-from rollbook.functions.keys import suffix7
+from rollbook.functions.keys import suffix_text as wide_suffix
 from rollbook.operators.diff import period_index
 from rollbook.operators.directory import latest_version
 from rollbook.operators.rules import adjust_snapshot, gap_fill
@@ -214,12 +214,6 @@ def with_snap(body: str, select: str, owner: str = "N", segment: bool = False) -
     return f"WITH{snap_sql(owner, segment)}{body}\n{select}"
 
 
-def wide_suffix(key: Column) -> Column:
-    """Seven digits or more: larger tables get longer suffixes, so that a pattern never
-    gathers keys that have nothing in common."""
-    return F.format_string("%07d", key)
-
-
 # --- current keys, dictionary, ages ---------------------------------------------------
 
 
@@ -528,9 +522,9 @@ def raw_lines(rows: DataFrame) -> DataFrame:
     """Text lines of keys, with the faults real files have: short lines, unknown statuses,
     bad dates, missing codes, bad numbers, numbers without dashes or of foreign segments."""
     fault = F.col("key") % 50
-    suffix = F.lpad((F.col("key") % 10_000_000).cast("string"), 7, "0")
+    suffix = wide_suffix(F.col("key"))
     seg = F.col("segment").cast("string")
-    tail = F.concat_ws("-", F.substring(suffix, 1, 3), F.substring(suffix, 4, 4))
+    tail = F.concat_ws("-", F.substring(suffix, 1, 3), F.substring(suffix, F.lit(4), F.length(suffix)))
     number = (
         F.when(fault == 4, F.concat(seg, F.lit("-X"), tail))
         .when(fault == 6, F.concat(seg, suffix))
@@ -560,7 +554,7 @@ _RAW = """
     || '  ,' || rpad(CASE WHEN key % 50 = 1 THEN 'BOGUS' WHEN key % 50 = 5 THEN 'SPARE' WHEN status = 1 THEN 'WORKING' WHEN status = 2 THEN 'TRANSIT' ELSE 'DISCONN' END, 8, ' ')
     || ',' || CASE WHEN key % 50 = 2 THEN '26/13' ELSE strftime(changed_at, '%y/%m/%d') END || ',' || lpad(CAST(key % 100 AS VARCHAR), 2, '0')
     || CASE key % 50 WHEN 0 THEN '' WHEN 3 THEN ',' ELSE ',' || sub_owner END AS value
-  FROM (SELECT *, lpad(CAST(key % 10000000 AS VARCHAR), 7, '0') AS suffix FROM {source}))"""
+  FROM (SELECT *, format('{{:07d}}', key) AS suffix FROM {source}))"""
 RAW_SQL = _RAW.format(name="raw", cols="period, segment", source="snap")
 RAW_CURRENT_SQL = _RAW.format(name="rawc", cols="segment", source="cur")
 
@@ -577,19 +571,19 @@ STATUS_RULES = [("77R01", "*", "SUSPEND"), ("2****", "WORKING", "ASSIGNED"), ("2
 
 def adjust_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed lines of the current keys."""
-    return parse_adjust_line(raw_lines(current_keys(spark, sf_dir)).select("key", "value"))
+    return parse_adjust_line(raw_lines(current_keys(spark, sf_dir)).select("key", "value"), None)
 
 
 ADJUST_INPUT_SQL = """
 inp AS (SELECT key, replace(trim(f[1]), '-', '') AS phone, trim(f[2]) AS status, trim(f[3]) AS date, trim(f[4]) AS template, trim(f[5]) AS sub_owner
-  FROM (SELECT key, string_split(value, ',') AS f FROM rawc) WHERE len(f) >= 5 AND regexp_full_match(replace(trim(f[1]), '-', ''), '[0-9]{10}'))"""
+  FROM (SELECT key, string_split(value, ',') AS f FROM rawc) WHERE len(f) >= 5 AND regexp_full_match(replace(trim(f[1]), '-', ''), '[0-9]{10,}'))"""
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact overrides for the parts of size 13, and empty targets for those of size 14."""
     part = table(spark, sf_dir, "part").where(F.col("p_size").isin(13, 14))
     return part.select(
-        F.concat(_segment(F.col("p_size")).cast("string"), suffix7(F.col("p_partkey"))).alias("phone"),
+        F.concat(_segment(F.col("p_size")).cast("string"), wide_suffix(F.col("p_partkey"))).alias("phone"),
         F.when(F.col("p_size") == 13, F.concat(F.lit("OV"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")))
         .otherwise("")
         .alias("code"),
@@ -598,8 +592,7 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_suffix(spark: SparkSession, sf_dir: str) -> int:
     """Upper end of the key space: one number from an aggregate."""
-    top = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
-    return min(int(top), 9_999_999)
+    return int(table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0)
 
 
 def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,14 +602,14 @@ def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OVERRIDES_SQL = """
-ovr AS (SELECT CAST([800,833,844,855,866,877,888][p_size % 7 + 1] AS VARCHAR) || lpad(CAST(p_partkey % 10000000 AS VARCHAR), 7, '0') AS phone,
+ovr AS (SELECT CAST([800,833,844,855,866,877,888][p_size % 7 + 1] AS VARCHAR) || format('{:07d}', p_partkey) AS phone,
   CASE p_size WHEN 13 THEN 'OV' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') ELSE '' END AS code FROM part WHERE p_size IN (13, 14))"""
 
 GAP_SQL = """
 filled AS (SELECT s.phone, coalesce(i.status, 'AVAIL') AS status, coalesce(i.date, '') AS date, coalesce(i.template, '') AS template,
     coalesce(i.sub_owner, '') AS sub_owner
-  FROM (SELECT CAST(g.seg AS VARCHAR) || lpad(CAST(r.n AS VARCHAR), 7, '0') AS phone
-        FROM (SELECT unnest([800,833,844,855,866,877,888]) AS seg) g CROSS JOIN (SELECT range AS n FROM range(0, (SELECT least(max(p_partkey), 9999999) + 1 FROM part))) r) s
+  FROM (SELECT CAST(g.seg AS VARCHAR) || format('{:07d}', r.n) AS phone
+        FROM (SELECT unnest([800,833,844,855,866,877,888]) AS seg) g CROSS JOIN (SELECT range AS n FROM range(0, (SELECT max(p_partkey) + 1 FROM part))) r) s
   LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY key) AS rn FROM inp) WHERE rn = 1) i USING (phone))"""
 
 

@@ -248,7 +248,7 @@ def _(spark, d):
 SELECT phone, vendor_code, substr(phone, 1, 3) AS area_code, status, CAST(TRY_CAST(nullif(template, '') AS INTEGER) AS BIGINT) AS age_months,
   nullif(date, '') AS first_used_date, 'adjusted' AS source, term, category AS category_code, coalesce(a.label, category) AS category_label,
   category_2 AS category_code_2, b.label AS category_label_2, relevance
-FROM sal LEFT JOIN dio ON substr(phone, 4, 7) = digits LEFT JOIN labs a ON a.code = category LEFT JOIN labs b ON b.code = category_2""",
+FROM sal LEFT JOIN dio ON substr(phone, 4) = digits LEFT JOIN labs a ON a.code = category LEFT JOIN labs b ON b.code = category_2""",
 )
 def _(spark, d):
     return words.vendor_inventory(
@@ -259,7 +259,7 @@ def _(spark, d):
 LOOKUP_SQL = f"""WITH{ADJUSTED_CTES},{DICTIONARY_SQL},{BEST_SQL},
 lk AS (SELECT phone AS digit_number, substr(phone, 1, 3) || '-' || word AS word_form, status, date AS change_date, trim(sub_owner) AS code,
   '2026-05' AS scan_month, category AS category_code, label AS category_label, word_rank AS keyword_rank, score AS value_score, word AS term,
-  CAST(NULL AS BIGINT) AS is_new_disconn, CAST(NULL AS BIGINT) AS is_new_transit FROM adj JOIN best ON substr(phone, 4, 7) = digits)
+  CAST(NULL AS BIGINT) AS is_new_disconn, CAST(NULL AS BIGINT) AS is_new_transit FROM adj JOIN best ON substr(phone, 4) = digits)
 """
 
 
@@ -270,7 +270,7 @@ def _(spark, d):
 
 @query(
     "sink_lookup_table",
-    LOOKUP_SQL + "SELECT *, substr(digit_number, 7) AS last4, substr(digit_number, 6) AS last5, substr(digit_number, 5) AS last6 FROM lk",
+    LOOKUP_SQL + "SELECT *, right(digit_number, 4) AS last4, right(digit_number, 5) AS last5, right(digit_number, 6) AS last6 FROM lk",
 )
 def _(spark, d):
     return sinks.with_suffixes(words.lookup_table(adjusted(spark, d), dictionary(spark, d), "2026-05"))

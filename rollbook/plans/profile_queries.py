@@ -76,4 +76,4 @@ SELECT request_id, substr(n.phone, 1, 3) || '-' || substr(n.phone, 4) AS formatt
 FROM nrm n JOIN cur c USING (phone) LEFT JOIN nm ON nm.owner = c.owner""",
 )
 def _(spark, d):
-    return profile.key_status_card(key_texts(spark, d), current_keys(spark, d), _names(spark, d))
+    return profile.key_status_card(key_texts(spark, d), current_keys(spark, d), _names(spark, d), None)

@@ -22,7 +22,9 @@ from rollbook.plans.base import (
     query,
     table,
     top_suffix,
+    wide_suffix,
 )
+from rollbook.session import scratch_path
 from rollbook.sources import lines, rule_files, sinks
 
 PASS_SQL = f"WITH{ADJ_INPUT_CTES},{cascade_sql('inp')}\n"
@@ -91,7 +93,7 @@ def _(spark, d):
 @query(
     "sink_fixed_width",
     f"""WITH{ADJUSTED_CTES}
-SELECT substr(phone, 1, 3) || '-' || substr(phone, 4, 3) || '-' || substr(phone, 7, 4) || '  ,' || rpad(substr(status, 1, 7), 7, ' ') || ' ,'
+SELECT substr(phone, 1, 3) || '-' || substr(phone, 4, 3) || '-' || substr(phone, 7) || '  ,' || rpad(substr(status, 1, 7), 7, ' ') || ' ,'
   || rpad(date, 8, ' ') || ',' || rpad(template, 2, ' ') || ',' || rpad(sub_owner, 5, ' ') AS value FROM adj""",
 )
 def _(spark, d):
@@ -193,7 +195,7 @@ def _override_file(spark, d):
 
 @query("load_rules", f"WITH{OVERRIDE_FILE_SQL}\nSELECT line_no, phone, code, verdict FROM j")
 def _(spark, d):
-    return rule_files.judge_overrides(_override_file(spark, d), block=500)
+    return rule_files.judge_overrides(_override_file(spark, d))
 
 
 @query("load_rules_summary", f"WITH{OVERRIDE_FILE_SQL}\nSELECT verdict, count(*) AS n FROM j GROUP BY 1")
@@ -226,6 +228,57 @@ def _(spark, d):
     return rule_files.load_phone_rules(part.select(k.alias("line_no"), value.alias("value")))
 
 
+def _written(spark, lines, name):
+    """Lines (line_no, value) as a text file in the shared folder, in their order."""
+    path = scratch_path(spark, name)
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return rule_files.read_rule_file(spark, path)
+
+
+def _literal_lines(spark, rules):
+    """Rules as lines of a rule file: '*' keeps a value and nothing clears it."""
+    text = [",".join("*" if v is None else v for v in r) + "   <> as given" for r in rules]
+    return spark.createDataFrame(list(enumerate(["<> head", *text, "FILE END", "800-*******,BAD,*,*,*"])), "line_no long, value string")
+
+
+@query("adjust_from_files", f"WITH{ADJUSTED_CTES}\nSELECT * FROM adj")
+def _(spark, d):
+    """All four rule files are written as text, read, loaded and applied."""
+    phone = rule_files.load_phone_rules(_written(spark, _literal_lines(spark, PHONE_RULES), "phone-rules"))
+    rename = rule_files.load_rename_rules(_written(spark, _literal_lines(spark, RENAME_RULES), "rename-rules"))
+    status = rule_files.load_status_rules(_written(spark, _literal_lines(spark, STATUS_RULES), "status-rules"))
+    exact = overrides(spark, d).where("code <> ''").select(
+        F.col("phone").cast("long").alias("line_no"), F.concat_ws(",", "phone", "code").alias("value")
+    )
+    exact = rule_files.load_overrides(_written(spark, exact, "overrides"))
+    full = rules.gap_fill(adjust_input(spark, d), 0, top_suffix(spark, d), "key")
+    return rules.adjust_snapshot(full, phone, rename, status, exact)
+
+
+# One rule per part: the pattern keeps the last digits of the part's suffix, and every third
+# part's rule fixes other positions. Patterns repeat, and the first of those counts.
+MANY_SQL = """
+many AS (SELECT p_partkey AS rule_no, CASE p_partkey % 3 WHEN 0 THEN '8**' || format('{:07d}', p_partkey // 2) WHEN 1 THEN '***' || right(format('{:07d}', p_partkey), 7)
+    ELSE '8******' || right(format('{:07d}', p_partkey), 3) END AS pattern FROM part)"""
+
+
+@query(
+    "wildcard_many_rules",
+    f"""WITH{ADJ_INPUT_CTES},{MANY_SQL}
+SELECT phone, (SELECT min(rule_no) FROM many WHERE inp.phone LIKE replace(pattern, '*', '_')) AS rule_no FROM inp""",
+)
+def _(spark, d):
+    k = F.col("p_partkey")
+    digits = wide_suffix(k)
+    pattern = (
+        F.when(k % 3 == 0, F.concat(F.lit("8**"), wide_suffix(F.floor(k / 2))))
+        .when(k % 3 == 1, F.concat(F.lit("***"), F.right(digits, F.lit(7))))
+        .otherwise(F.concat(F.lit("8******"), F.right(digits, F.lit(3))))
+    )
+    many = table(spark, d, "part").select(k.alias("rule_no"), pattern.alias("pattern"))
+    return rules.wildcard_rule_join(adjust_input(spark, d), many).select("phone", "rule_no")
+
+
 @query(
     "reject_counts",
     f"""WITH{CURRENT_SQL},{RAW_CURRENT_SQL}

@@ -204,7 +204,7 @@ def _(spark, d):
     number = F.col("phone").cast("long")
     return current_keys(spark, d).select(
         number.alias("number"),
-        keys.suffix7(number).alias("suffix"),
+        keys.suffix_of(number).alias("suffix"),
         keys.segment_of(number).alias("segment"),
         keys.dashed(number).alias("dashed"),
     )
@@ -226,7 +226,7 @@ def key_texts(spark, d):
     style = F.col("p_size") % 5
     text = (
         F.when(style == 0, F.concat(F.lit("1-"), s, F.lit("-"), F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 7)))
-        .when(style == 1, F.concat(F.lit("+1 ("), s, F.lit(") "), F.substring(suffix, 1, 3), F.lit("-"), F.substring(suffix, 4, 4)))
+        .when(style == 1, F.concat(F.lit("+1 ("), s, F.lit(") "), F.substring(suffix, 1, 3), F.lit("-"), F.substring(suffix, F.lit(4), F.length(suffix))))
         .when(style == 2, "212-555-1212")
         .when(style == 3, F.concat(s, suffix))
         .otherwise(F.concat(s, F.lit("-12")))
@@ -238,7 +238,7 @@ def key_texts(spark, d):
 
 @query("normalize_key", f"WITH{TEXT_SQL}\nSELECT request_id, text, phone FROM nrm")
 def _(spark, d):
-    return key_texts(spark, d).select("request_id", "text", keys.normalize_key(F.col("text")).alias("phone"))
+    return key_texts(spark, d).select("request_id", "text", keys.normalize_key(F.col("text"), None).alias("phone"))
 
 
 # --- sinks ----------------------------------------------------------------------------

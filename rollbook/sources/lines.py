@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rollbook.constants import SEGMENTS, STATUS_CODES
 from rollbook.functions.fence import settled
-from rollbook.functions.keys import status_code
+from rollbook.functions.keys import SUFFIX_DIGITS, status_code
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -100,8 +100,11 @@ def reject_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_adjust_line(lines: DataFrame) -> DataFrame:
-    """Input of the rule cascade: exactly ten digits, template kept, codes may be empty."""
+def parse_adjust_line(lines: DataFrame, longest: int | None = SUFFIX_DIGITS) -> DataFrame:
+    """Input of the rule cascade: whole keys only, template kept, codes may be empty.
+
+    `longest` is the number of suffix digits the registry has at most, None for any.
+    """
     others = [c for c in lines.columns if c != "value"]
     rows = _split(lines).where(F.size("f") >= 5).select(
         *others,
@@ -111,7 +114,8 @@ def parse_adjust_line(lines: DataFrame) -> DataFrame:
         _field(3).alias("template"),
         _field(4).alias("sub_owner"),
     )
-    return rows.where(F.col("phone").rlike(r"^[0-9]{10}$"))
+    most = "" if longest is None else 3 + longest
+    return rows.where(F.col("phone").rlike(f"^[0-9]{{{3 + SUFFIX_DIGITS},{most}}}$"))
 
 
 def missing_segments(rows: DataFrame, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:

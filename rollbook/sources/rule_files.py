@@ -13,10 +13,19 @@ BLOCK = 100_000
 
 
 def read_rule_file(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines of one small file. wholetext keeps the order without a sort."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")
-    return text.select(F.posexplode(lines).alias("line_no", "value"))
+    """Numbered lines of one file, or of several in the order of their names.
+
+    Files of any size are read in splits; a line's number is its place in its split plus the
+    lines of the splits before, of which there is one row each.
+    """
+    meta = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("file", "start").orderBy("at")
+    numbered = lines.withColumn("nth", F.row_number().over(inside)).join(offsets, ["file", "start"])
+    return numbered.select((F.col("offset") + F.col("nth") - 1).alias("line_no"), "value")
 
 
 def _body(lines: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def write_text(lines: DataFrame, path: str) -> None:
 def with_suffixes(lookup: DataFrame) -> DataFrame:
     """Last four, five and six digits beside the number, for searches by suffix."""
     number = F.col("digit_number")
-    return lookup.withColumns({f"last{n}": F.substring(number, 11 - n, n) for n in (4, 5, 6)})
+    return lookup.withColumns({f"last{n}": F.right(number, F.lit(n)) for n in (4, 5, 6)})
 
 
 def write_lookup(lookup: DataFrame, path: str, mode: str = "errorifexists") -> None:

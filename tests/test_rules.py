@@ -1,5 +1,8 @@
 """Rule cascade, rule files, gap fill, exports, validation."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +70,7 @@ def test_rule_files(spark):
     assert [tuple(r)[1:] for r in rule_files.load_rename_rules(names).orderBy("rule_no").collect()] == [("QRS02", "MNO01"), ("A***1", "B0001")]
     states = numbered(spark, "QRS02,WORKING,SUSPEND", "QRS02,*      ,UNAVAIL")
     assert [tuple(r)[2:] for r in rule_files.load_status_rules(states).orderBy("rule_no").collect()] == [("WORKING", "SUSPEND"), ("*", "UNAVAIL")]
-    assert rules.collect_rules(rule_files.load_rename_rules(names)) == [("QRS02", "MNO01"), ("A***1", "B0001")]
+    assert [tuple(r)[1:] for r in rule_files.load_rename_rules(names).orderBy("rule_no").collect()] == [("QRS02", "MNO01"), ("A***1", "B0001")]
 
 
 @pytest.mark.parametrize("block", [1, 3, 100])
@@ -141,3 +144,50 @@ def test_validation(spark):
     v = validate.verdict(found, "MN").first()
     assert (v["equal"], v["differing"], v["expected"], v["passed"]) == (1, 2, 1, False)
     assert validate.verdict(found.where("phone in ('1', '2')"), "MN").first()["passed"]
+
+
+@pytest.mark.parametrize("count", [30, 300, 20_000])
+def test_rules_of_any_number(spark, count):
+    """A table of rules gives what the first match of all patterns gives; so does a long CASE."""
+    rng = random.Random(count)
+    digits = "0123456789*"
+    patterns = ["8" + "".join(rng.choice(digits) if rng.random() < 0.5 else "*" for _ in range(2)) + f"{rng.randrange(count):04d}***" for _ in range(count)]
+    phones = [f"8{rng.randrange(100):02d}{rng.randrange(count):04d}{rng.randrange(1000):03d}" for _ in range(400)] + ["800", ""]
+    rows = spark.createDataFrame([(x,) for x in dict.fromkeys(phones)], "phone string")
+    table = spark.createDataFrame([(n + 1, x) for n, x in enumerate(patterns)], "rule_no int, pattern string")
+    want = {}
+    tests = [(n + 1, re.compile(x.replace("*", ".").replace("+", "."))) for n, x in enumerate(patterns)]
+    for x in dict.fromkeys(phones):
+        want[x] = next((n for n, t in tests if t.fullmatch(x)), None)
+    assert {r.phone: r.rule_no for r in rules.wildcard_rule_join(rows, table).collect()} == want
+    if count <= 300:
+        assert {r.phone: r.rule_no for r in rules.wildcard_rule_join(rows, [(x,) for x in patterns]).collect()} == want
+
+
+def test_cascade_from_tables(spark):
+    """Tables and tuples of rules give the same month."""
+    rows = [(f"800000000{n}", s, "01/01/01", "", c) for n in range(10) for s, c in [(" WORKING" if n % 2 else "SPARE", f"A{n}B01" if n % 3 else "")]]
+    df = spark.createDataFrame(rows, "phone string, status string, date string, template string, sub_owner string")
+    phone = [("800*****01", "X", None, "T", None), ("80000000**", None, "", None, None)]
+    rename, status = [("A1***", "ZZZ01"), ("A***1", "ZZZ02")], [("ZZZ02", "WORKING", "NEW"), ("ZZZ**", "*", "OTHER"), ("A****", "SPARE", "S")]
+    none = spark.createDataFrame([], "phone string, code string")
+
+    def table(data, names):
+        return spark.createDataFrame([(n, *r) for n, r in enumerate(data)], "rule_no int, " + ", ".join(f"{x} string" for x in names.split()))
+
+    a = rules.adjust_snapshot(df, phone, rename, status, none)
+    b = rules.adjust_snapshot(df, table(phone, "pattern status date template code"), table(rename, "pattern code"), table(status, "pattern status new_status"), none)
+    assert sorted(a.select(*sorted(a.columns)).collect()) == sorted(b.select(*sorted(a.columns)).collect())
+
+
+def test_rule_file_in_splits(spark, tmp_path):
+    lines = [f"line {n}" + "x" * (n % 90) for n in range(2000)]
+    (tmp_path / "rules.txt").write_text("\r\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        read = rule_files.read_rule_file(spark, str(tmp_path / "rules.txt"))
+        assert [r.value for r in read.orderBy("line_no").collect()] == lines
+        assert sorted(r.line_no for r in read.collect()) == list(range(2000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -26,7 +26,7 @@ def test_normalize_key(spark):
 
 def test_key_parts(spark):
     assert column(spark, [8002000000, 8339999999], keys.segment_of, "long") == [800, 833]
-    assert column(spark, [8002000000, 8330000007], keys.suffix7, "long") == ["2000000", "0000007"]
+    assert column(spark, [8002000000, 8330000007], keys.suffix_of, "long") == ["2000000", "0000007"]
     assert column(spark, [8002000000], keys.dashed, "long") == ["800-200-0000"]
     assert column(spark, [8002000000], keys.segment_form, "long") == ["800-2000000"]
 

@@ -541,10 +541,39 @@ def slugify(text: Column) -> Column:
     return F.when(cut == "", "owner").otherwise(cut)
 
 
+def unique_slugs(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """(owner, slug) for rows (owner, base): in the order of owners, the first free one of the
+    base, base-<owner>, base-3, base-4 and so on, given the slugs `used` (slug) already.
+
+    Each choice depends on all before it, so it is one fold. It holds an entry per owner
+    code, of which there are at most 1,296, and only the used slugs that can be in the way.
+    """
+    second = F.concat("base", F.lit("-"), F.lower("owner"))
+    wanted = rows.select(F.explode(F.array("base", second)).alias("stem")).distinct()
+    stems = F.array_distinct(F.array("slug", F.regexp_replace("slug", "-[0-9]+$", "")))
+    near = used.select("slug", F.explode(stems).alias("stem")).join(wanted, "stem")
+    taken = F.coalesce(near.agg(F.collect_set("slug")).scalar(), F.array().cast("array<string>"))
+
+    def choose(acc: Column, row: Column) -> Column:
+        base, other = row["base"], F.concat(row["base"], F.lit("-"), F.lower(row["owner"]))
+        numbered = F.transform(F.sequence(F.lit(3), F.size(acc["taken"]) + 3), lambda n: F.concat(base, F.lit("-"), n.cast("string")))
+        slug = (
+            F.when(~F.array_contains(acc["taken"], base), base)
+            .when(~F.array_contains(acc["taken"], other), other)
+            .otherwise(F.get(F.array_except(numbered, acc["taken"]), F.lit(0)))
+        )
+        chosen = F.array(F.struct(row["owner"].alias("owner"), slug.alias("slug")))
+        return F.struct(F.concat(acc["taken"], F.array(slug)).alias("taken"), F.concat(acc["out"], chosen).alias("out"))
+
+    ordered = rows.agg(F.sort_array(F.collect_list(F.struct("owner", "base"))).alias("rows")).withColumn("taken", taken)
+    start = F.struct(F.col("taken").alias("taken"), F.expr("cast(array() as array<struct<owner:string,slug:string>>)").alias("out"))
+    return ordered.select(F.inline(F.aggregate("rows", start, choose, lambda acc: acc["out"])))
+
+
 def stub_owners(contacts: DataFrame, docs: DataFrame, state_codes: dict[str, str]) -> DataFrame:
     """One stub per owner without a document: first contact by code, unique slug, short state.
 
-    A taken slug gets '-<owner>'; owners are unique, so this never collides among stubs.
+    Slugs are those of `unique_slugs`.
     """
     covered = docs.select(owner_of(F.col("code")).alias("owner")).where(F.col("owner").isNotNull()).distinct()
     missing = contacts.join(F.broadcast(covered), "owner", "left_anti")
@@ -558,16 +587,13 @@ def stub_owners(contacts: DataFrame, docs: DataFrame, state_codes: dict[str, str
     codes = F.create_map(*[F.lit(x) for pair in state_codes.items() for x in pair])
     home = F.coalesce("country", F.lit("")).isin("", "USA", "United States")
     rows = rows.withColumn("title", title).withColumn("base", slugify(title))
-    used = docs.select(F.col("slug.current").alias("base")).where(F.col("base").isNotNull()).distinct()
-    taken = rows.join(used.withColumn("taken", F.lit(True)), "base", "left")
-    turn = F.row_number().over(Window.partitionBy("base").orderBy("owner"))
-    free = F.col("taken").isNull() & (turn == 1)
-    slug = F.when(free, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.lower("owner")))
-    return taken.select(
+    used = docs.select(F.col("slug.current").alias("slug")).where(F.col("slug").isNotNull()).distinct()
+    named = rows.join(unique_slugs(rows.select("owner", "base"), used), "owner")
+    return named.select(
         "owner",
         "code",
         "title",
-        slug.alias("slug"),
+        "slug",
         "street",
         "city",
         F.coalesce(codes[state], state).alias("state"),

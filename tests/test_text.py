@@ -196,3 +196,17 @@ def test_partner_names(spark):
     rows = spark.createDataFrame([("AB",), ("CD",), ("DISC",), ("ZZ",)], "partner string")
     got = {r["partner"]: r["partner_name"] for r in directory.partner_names(rows, names).collect()}
     assert got == {"AB": "Lumo", "CD": "Mayfair (Alt, Prime)", "DISC": "DISC", "ZZ": "ZZ"}
+
+
+def test_slugs_in_owner_order(spark):
+    """The first free of base, base-owner, base-3, ...; also against other stubs' slugs."""
+    rows = [("AB", "foo"), ("CD", "foo-ab"), ("EF", "foo"), ("GH", "bar"), ("IJ", "bar"), ("KL", "new"), ("MN", "new")]
+    used = ["foo", "bar", "bar-gh", "bar-3", "foo-ef", "other", "newer-3"]
+    taken, want = set(used), {}
+    for owner, base in sorted(rows):
+        options = [base, f"{base}-{owner.lower()}", *[f"{base}-{n}" for n in range(3, 20)]]
+        want[owner] = next(x for x in options if x not in taken)
+        taken.add(want[owner])
+    got = directory.unique_slugs(spark.createDataFrame(rows, "owner string, base string"), spark.createDataFrame([(x,) for x in used], "slug string"))
+    assert {r.owner: r.slug for r in got.collect()} == want and want["CD"] == "foo-ab-cd" and want["GH"] == "bar-4"
+    assert directory.unique_slugs(spark.createDataFrame(rows[:0], "owner string, base string"), spark.createDataFrame([], "slug string")).count() == 0

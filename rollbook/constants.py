@@ -18,6 +18,7 @@ SEGMENTS_BY_AGE = (800, 888, 877, 866, 855, 844, 833)
 
 # Category slugs with a special meaning. Directories with further slugs of the kind, such as
 # one for entries that are no owners, pass their own lists.
+# Every caller names the hidden ones; this is the list of the test data.
 HIDDEN_SLUGS = ("hidden",)
 META_SLUGS = ("unknown", "hidden")
 

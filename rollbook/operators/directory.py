@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.constants import DISC_NODE, DORMANT_MAX, HIDDEN_SLUGS, META_SLUGS, SPARE_NODE, WORKING
+from rollbook.constants import DISC_NODE, DORMANT_MAX, META_SLUGS, SPARE_NODE, WORKING
 
 _REF = T.ArrayType(T.StructType([T.StructField("_ref", T.StringType())]))
 DOC_SCHEMA = T.StructType(
@@ -98,7 +98,8 @@ def public_membership(
     dim: DataFrame,
     categories: DataFrame,
     array: str,
-    hidden_slugs: Sequence[str] = HIDDEN_SLUGS,
+    *,
+    hidden_slugs: Sequence[str],
 ) -> DataFrame:
     """The same without synthetic owners and without documents tagged hidden.
 
@@ -114,7 +115,8 @@ def hidden_owners(
     docs: DataFrame,
     categories: DataFrame,
     override: Sequence[str] = (),
-    hidden_slugs: Sequence[str] = HIDDEN_SLUGS,
+    *,
+    hidden_slugs: Sequence[str],
 ) -> DataFrame:
     """Owners named by the override list, by the synthetic code rule or by a hidden tag."""
     spark = docs.sparkSession
@@ -148,7 +150,8 @@ def directory_filter(
     category: str | None = None,
     hidden: str | None = None,
     text: str | None = None,
-    hidden_slugs: Sequence[str] = HIDDEN_SLUGS,
+    *,
+    hidden_slugs: Sequence[str],
 ) -> DataFrame:
     """First document per owner, narrowed by category slug, hidden 'yes'/'no' and a text."""
     first = first_docs(docs)

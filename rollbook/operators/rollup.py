@@ -67,9 +67,10 @@ def owner_period_rollup(snapshot: DataFrame, periods: DataFrame | None = None) -
 
 
 def latest_snapshot(snapshot: DataFrame, periods: DataFrame | None = None) -> DataFrame:
-    """Rows of the greatest period. On a table partitioned by period this prunes the scan."""
-    newest = (snapshot if periods is None else periods).select(F.max("period").alias("period"))
-    return snapshot.join(F.broadcast(newest), "period", "left_semi")
+    """Rows of the greatest period. It is a scalar in the filter, so a table partitioned by
+    period reads one partition only."""
+    newest = (snapshot if periods is None else periods).agg(F.max("period")).scalar()
+    return snapshot.where(F.col("period") == newest)
 
 
 def owner_snapshot(snapshot: DataFrame) -> DataFrame:

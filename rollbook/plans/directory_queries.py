@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollbook.constants import HIDDEN_SLUGS
 from rollbook.operators import directory, flows, ranks, rollup
 from rollbook.plans.base import (
     AGES_SQL,
@@ -36,7 +37,7 @@ def _inventory(spark, d):
 
 
 def _hidden(spark, d):
-    return directory.hidden_owners(owner_docs(spark, d), category_docs(spark), HIDDEN_OVERRIDE)
+    return directory.hidden_owners(owner_docs(spark, d), category_docs(spark), HIDDEN_OVERRIDE, hidden_slugs=HIDDEN_SLUGS)
 
 
 @query(
@@ -121,7 +122,7 @@ def _(spark, d):
     AND contains(lower(coalesce(title, '?') || ' ' || coalesce(alias, '') || ' ' || code), '0')""",
 )
 def _(spark, d):
-    rows = directory.directory_filter(owner_docs(spark, d), category_docs(spark), "reseller", "no", "0")
+    rows = directory.directory_filter(owner_docs(spark, d), category_docs(spark), "reseller", "no", "0", hidden_slugs=HIDDEN_SLUGS)
     return rows.select("owner", "doc_no", "title", "code")
 
 
@@ -263,7 +264,7 @@ seen AS (SELECT * FROM docs WHERE owner NOT LIKE '1%' AND NOT list_contains(cate
 )
 def _(spark, d):
     docs, cats = owner_docs(spark, d), category_docs(spark)
-    members = directory.public_membership(docs, cats, cats, "categories")
+    members = directory.public_membership(docs, cats, cats, "categories", hidden_slugs=HIDDEN_SLUGS)
     traj = directory.member_trajectory(_rollup(spark, d), members, "slug")
     return traj.join(F.broadcast(cats.select("slug", "title")), "slug")
 
@@ -278,7 +279,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    members = directory.public_membership(owner_docs(spark, d), group_docs(spark, d), category_docs(spark), "groups")
+    members = directory.public_membership(owner_docs(spark, d), group_docs(spark, d), category_docs(spark), "groups", hidden_slugs=HIDDEN_SLUGS)
     named = [(o, g.lower()) for g, owners in GROUP_OVERRIDES.items() for o in owners]
     extra = spark.createDataFrame(named, "owner string, slug string")
     return directory.member_trajectory(_rollup(spark, d), members.select("owner", "slug").unionByName(extra), "slug")

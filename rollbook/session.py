@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "rollbook", partitions: int = 8) -> SparkSession:
-    """A local session for tests and benches. A cluster brings its own session."""
+def local_session(cores: str = "8", app: str = "rollbook", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A local session for tests and benches. A cluster brings its own session.
+
+    `shared` is the folder for written intermediate tables, which the caller removes.
+    """
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -30,18 +33,14 @@ def local_session(cores: str = "8", app: str = "rollbook", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only a local session without the setting gets a temporary folder, for tests.
+    A session without the setting, as in tests, uses its warehouse, which is shared as well.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="rollbook-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.keys import dashed
+from rollbook.sources.lines import missing_segments
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -30,8 +32,15 @@ def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
 
 
 def existing_periods(spark: SparkSession, path: str) -> DataFrame:
-    """Periods that a table written by write_snapshots holds; reads the file list only."""
-    return spark.read.parquet(path).select(F.col("period").cast("string").alias("period")).distinct()
+    """Periods that a table written by write_snapshots holds, none if there is no table yet.
+    No column is read but the one in the folder names."""
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return spark.createDataFrame([], "period string")
+        raise
+    return held.select(F.col("period").cast("string").alias("period")).distinct()
 
 
 def new_periods_only(rows: DataFrame, done: DataFrame) -> DataFrame:
@@ -39,11 +48,21 @@ def new_periods_only(rows: DataFrame, done: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(done.select("period").distinct()), "period", "left_anti")
 
 
-def append_missing(rows: DataFrame, path: str) -> None:
-    """Idempotent load: periods already present are left alone."""
+def append_missing(rows: DataFrame, path: str, segments: tuple[int, ...] | None = None) -> None:
+    """Idempotent load: periods already present are left alone.
+
+    With `segments`, a period that lacks one of them is refused and can be loaded later. A
+    failed load leaves no period half written: whole partitions replace what is there, and
+    they appear when the job commits.
+    """
     spark = rows.sparkSession
     fresh = new_periods_only(rows, existing_periods(spark, path))
-    write_snapshots(fresh, path, "append")
+    if segments is not None:
+        whole = missing_segments(fresh, segments).where("complete").select("period")
+        fresh = fresh.join(F.broadcast(whole), "period", "left_semi")  # a row per period of the calendar
+    keys = ("period", "key")
+    writer = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("period").parquet(path)
 
 
 def _field(column: str, width: int) -> Column:

@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from rollbook.operators import contacts, dictionary, directory
+from rollbook.operators import contacts, dictionary, directory, rollup
+from rollbook.sources import sinks
 from rollbook.streaming.ingest import load_new_files
 
 DICT = "digits string, word string, category string, label string, score double, word_rank long"
@@ -78,8 +79,8 @@ def test_public_membership_skips_the_document_only(spark):
         [(1, "AB1", [{"_ref": "c1"}, {"_ref": "h"}]), (2, "AB2", [{"_ref": "c1"}]), (3, "1AB", [{"_ref": "c1"}]), (4, "CD1", [{"_ref": "h"}, {"_ref": "gone"}])],
         "doc_no long, code string, categories array<struct<_ref: string>>",
     )
-    assert [tuple(r) for r in directory.public_membership(docs, cats, cats, "categories").collect()] == [("AB", "one", "One")]
-    assert {r[0] for r in directory.hidden_owners(docs, cats, ["QQ"]).collect()} == {"AB", "1A", "CD", "QQ"}
+    assert [tuple(r) for r in directory.public_membership(docs, cats, cats, "categories", hidden_slugs=("hidden",)).collect()] == [("AB", "one", "One")]
+    assert {r[0] for r in directory.hidden_owners(docs, cats, ["QQ"], hidden_slugs=("hidden",)).collect()} == {"AB", "1A", "CD", "QQ"}
 
 
 def test_streaming_load_reads_each_file_once(spark, tmp_path):
@@ -124,7 +125,28 @@ def test_hot_key_and_hot_owner_stay_exact(spark):
 def test_further_hidden_slugs(spark):
     cats = spark.createDataFrame([("c1", "one", "One"), ("n", "no-owner", "None")], "id string, slug string, title string")
     docs = spark.createDataFrame([(1, "AB1", [{"_ref": "n"}, {"_ref": "c1"}])], "doc_no long, code string, categories array<struct<_ref: string>>")
-    assert directory.hidden_owners(docs, cats).count() == 0
+    assert directory.hidden_owners(docs, cats, hidden_slugs=("hidden",)).count() == 0
     assert directory.hidden_owners(docs, cats, hidden_slugs=("hidden", "no-owner")).count() == 1
-    assert directory.public_membership(docs, cats, cats, "categories", ("no-owner",)).count() == 0
+    assert directory.public_membership(docs, cats, cats, "categories", hidden_slugs=("no-owner",)).count() == 0
     assert directory.unknown_and_real(docs, cats, ("one", "no-owner")).count() == 0
+
+
+def test_newest_period_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    rows = [(n, f"2020-0{n % 3 + 1}") for n in range(9)]
+    spark.createDataFrame(rows, "key long, period string").write.partitionBy("period").parquet(path)
+    newest = rollup.latest_snapshot(spark.read.parquet(path))
+    assert sorted(r.key for r in newest.collect()) == [2, 5, 8]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.split("\n") if "PartitionFilters" in line]
+    assert any("(period" in f.split("PartitionFilters")[1].split("PushedFilters")[0] and "subquery" in f for f in filters)
+
+
+def test_loads_refuse_incomplete_periods(spark, tmp_path):
+    path = str(tmp_path / "loads")
+    segments = (800, 833)
+    rows = spark.createDataFrame([(n, p, s) for n in range(3) for p in ("2020-01", "2020-02") for s in segments], "key long, period string, segment int")
+    half = rows.where("not (period = '2020-02' and segment = 833)")
+    for load, want in ((half, {"2020-01": 6}), (half, {"2020-01": 6}), (rows, {"2020-01": 6, "2020-02": 6}), (rows, {"2020-01": 6, "2020-02": 6})):
+        sinks.append_missing(load, path, segments)
+        assert {r.period: r["count"] for r in spark.read.parquet(path).groupBy("period").count().collect()} == want

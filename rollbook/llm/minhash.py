@@ -10,9 +10,14 @@ Documents with one set are one class and are never expanded into pairs. Within a
 any size the links are found without emitting all pairs:
 
 * star: every class against the least one of its bucket;
-* close: classes that are not yet in the main component of a bucket, each against its most
-  similar partners (by signature) in other components;
-* rest: all pairs of such a class with the other components of its bucket.
+* centre: in a crowd (a bucket of more than 48 classes) that is not one component yet, the
+  other components against the class with the largest part of common shingles, which is
+  the original or its least edited copy;
+* rest: the classes outside the main component of a bucket against the other components
+  there. In a crowd only pairs whose shingles allow a link meet: shingles that stand in few
+  texts of the crowds bring together those that share them, and without such a one the
+  intersection is at most the lesser number of common shingles. This leaves out copies too
+  far from all others, which would otherwise each meet the whole crowd.
 
 After each step the components are computed anew, and only pairs between different ones go
 on, so what is left out can not change a component. A pair is verified on full sets; before
@@ -41,8 +46,10 @@ from rollbook.llm.components import components
 WORDS, BANDS, ROWS = 4, 24, 4
 COORDINATES = BANDS * ROWS
 LEAST_EQUAL = 54
-#: Most similar partners tried in the step `close`.
-PARTNERS = 4
+#: Members beyond which a bucket counts as a crowd; it has the bound on shared shingles as well.
+CROWD = 48
+#: Classes of crowds a rare shingle stands in at most.
+FEW = 16
 #: Members of a star that one task compares with the centre; a larger star is dealt to several.
 STAR = 2000
 MEMO = 300_000
@@ -192,25 +199,79 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "u binary, v binary")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
-    joined = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    return joined.select("b", "cls", F.coalesce("root", "cls").alias("root"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with root, main, total (of their bucket) of the buckets that hold more than one component."""
+    labelled = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    sizes = labelled.groupBy("b", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("b").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("total"), F.count("*").alias("roots"))
+    return labelled.join(main.where("roots > 1").drop("roots"), "b")
+
+
+def graded_shingles(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, common, few, rare): of the shingles of a class that stand in another one of the given
+    classes too, the number of those in many, that of those in few, and the list of the latter."""
+
+    def make():
+        own = Shingler()
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [own.shingles(x.as_py()).view(np.int64) for x in batch.column("text")]
+            cls = batch.column("cls").take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+            return pa.RecordBatch.from_arrays([cls, pa.array(np.concatenate(sets), pa.int64())], ["cls", "h"])
+
+        return each
+
+    rows = arrow_rows(texts.join(classes, "cls").select("cls", "text"), make, "cls binary, h long")
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    rare = F.collect_list(F.when(F.col("df") <= FEW, F.col("h")))
+    graded = rows.join(often, "h").groupBy("cls").agg(F.count_if(F.col("df") > FEW).alias("common"), rare.alias("rare"))
+    return graded.select("cls", "common", F.size("rare").alias("few"), "rare")
+
+
+def _centres(open_: DataFrame) -> DataFrame:
+    """(p, m): in each crowd, the class with the largest part of common shingles against the others."""
+    best = F.max(F.struct((F.col("common") / F.col("n")).alias("part"), "n", F.col("cls").alias("p"), F.col("root").alias("p_root"), (F.col("common") + F.col("few")).alias("ps")))
+    centre = open_.groupBy("b").agg(best.alias("x")).select("b", "x.p", "x.p_root", "x.ps", F.col("x.n").alias("pn"))
+    pairs = open_.join(centre, "b").where("root != p_root and 180 * least(ps, common + few) >= 80 * (pn + n)")
+    return pairs.select("p", F.col("cls").alias("m")).distinct()
 
 
-def _open_pairs(labelled: DataFrame) -> DataFrame:
+def _apart(open_: DataFrame) -> DataFrame:
     """(p, m): each class outside the main component of a bucket with the other components there."""
-    sizes = labelled.groupBy("b", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("b").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = labelled.join(main, "b")
-    apart = open_.where("root != main").select("b", F.col("cls").alias("p"), F.col("root").alias("p_root"))
-    others = open_.select("b", F.col("cls").alias("m"), F.col("root").alias("m_root"), (F.col("root") == F.col("main")).alias("in_main"))
+    p = open_.where("root != main").select("b", F.col("cls").alias("p"), F.col("root").alias("p_root"))
+    m = open_.select("b", F.col("cls").alias("m"), F.col("root").alias("m_root"), (F.col("root") == F.col("main")).alias("in_main"))
     # two classes that are both apart meet twice: keep one direction
-    return apart.join(others, "b").where("p_root != m_root and (in_main or p < m)").select("p", "m").distinct()
+    return p.join(m, "b").where("p_root != m_root and (in_main or p < m)").select("p", "m").distinct()
+
 
+def _apart_in_crowds(open_: DataFrame, graded: DataFrame) -> DataFrame:
+    """The pairs of `_apart` that may link, without a look at the others.
 
-def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Verified links (u, v) between classes that span every component of the full link graph."""
+    Two classes have at most the lesser number of common shingles of either in common, and
+    the rare ones they share. Pairs that share rare ones meet on those; pairs that share
+    none can only link if sizes and common shingles allow it, so they meet by size.
+    """
+    apart = open_.where("root != main and 180 * (common + few) >= 144 * n")
+    step = 0.03
+    most = F.least(1.25 * F.col("n"), 2.25 * F.col("common") - F.col("n"))
+    sizes = F.sequence(F.floor(F.log(0.8 * F.col("n")) / step).cast("int"), F.floor(F.log(most) / step).cast("int"))
+    p = apart.where("180 * common >= 144 * n").select("b", F.col("cls").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.explode(sizes).alias("size"))
+    m = open_.select("b", F.col("cls").alias("m"), F.col("root").alias("m_root"), F.col("n").alias("mn"), F.col("common").alias("mc"), F.floor(F.log("n") / step).cast("int").alias("size"))
+    by_size = p.join(m, ["b", "size"]).where("p_root != m_root and 180 * least(pc, mc) >= 80 * (pn + mn)").select("p", "m")
+
+    def rare(rows: DataFrame, side: str) -> DataFrame:
+        own = rows.select("cls", "root").distinct().join(graded, "cls")
+        return own.select(F.explode("rare").alias("h"), *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "root", "n", "common")])
+
+    met = rare(apart, "p").join(rare(open_, "m"), "h").where("p_root != m_root")
+    met = met.groupBy("p_cls", "m_cls", "p_n", "m_n", "p_common", "m_common").agg(F.count("*").alias("t"))
+    by_rare = met.where("180 * (least(p_common, m_common) + t) >= 80 * (p_n + m_n)").select(F.col("p_cls").alias("p"), F.col("m_cls").alias("m"))
+    both = by_size.union(by_rare)
+    return both.select(F.least("p", "m").alias("p"), F.greatest("p", "m").alias("m")).distinct()
+
+
+def link_stars(docs: DataFrame, sketched: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of every class that is linked with another one."""
     banded = sketched.where("cls is not null").select("cls", F.xxhash64("cls").alias("c"), F.explode("bands").alias("b"))
     shared = banded.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("b")
     members = written(banded.join(shared, "b").select("b", "cls").distinct(), "buckets")
@@ -221,28 +282,33 @@ def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", *content_key(F.col("text")), "text").join(chosen, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("chosen")))
     texts = written(texts.select("cls", "text"), "texts")
 
+    def linked_again(pairs: DataFrame, before: DataFrame) -> DataFrame:
+        known = before.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return components(known.union(verified(pairs.select("p", "m"), texts)))
+
     centre = members.groupBy("b").agg(F.min("cls").alias("p"))
     star = members.join(centre, "b").where("cls != p").select("p", F.col("cls").alias("m")).distinct()
     tried = written(_likely(star, classes), "pairs")
-    found = written(verified(tried.select("p", "m"), texts), "links")
-    for close in (True, False):
-        pairs = _likely(_open_pairs(_labelled(members, found)), classes)
-        done = tried.select("p", "m").union(tried.select(F.col("m").alias("p"), F.col("p").alias("m")))
-        pairs = pairs.join(done, ["p", "m"], "left_anti")
-        if close:
-            ranked = pairs.selectExpr("*", "row_number() over (partition by p order by equal desc, m) as nearest")
-            pairs = ranked.where(F.col("nearest") <= PARTNERS).drop("nearest")
-        pairs = written(pairs, "pairs")
-        tried = tried.union(pairs)
-        found = found.union(written(verified(pairs.select("p", "m"), texts), "links"))
-    return found
-
-
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    roots = components(verified(tried.select("p", "m"), texts))
+
+    crowd_rows = _open(members, roots).where(F.col("total") > crowd).select("b", "cls")
+    graded = graded_shingles(texts, crowd_rows.select("cls").distinct())
+    graded = written(graded.join(classes.select("cls", "n"), "cls"), "graded")
+    crowds = written(crowd_rows.join(graded.drop("rare"), "cls"), "crowds")
+    roots = linked_again(written(_likely(_centres(_open(crowds, roots)), classes), "pairs"), roots)
+
+    few = _apart(_open(members, roots).where(F.col("total") <= crowd))
+    many = _apart_in_crowds(_open(crowds, roots), graded)
+    done = tried.select("p", "m").union(tried.select(F.col("m").alias("p"), F.col("p").alias("m")))
+    rest = _likely(few.union(many).distinct(), classes).join(done, ["p", "m"], "left_anti")
+    return linked_again(written(rest, "pairs"), roots)
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, k1, k2 (content key), n_shingles, component_id, kept of every row."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = written(sketches(source), "sketches")
-    roots = components(links(source, sketched))
+    roots = link_stars(source, sketched, crowd)
     named = sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -253,9 +319,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return judged(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+    return judged(docs, id_col, text_col, crowd).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

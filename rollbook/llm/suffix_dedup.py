@@ -17,7 +17,7 @@ another one. Sorting all suffixes at once would need the whole corpus in one ord
   window that starts x bytes before its sample position is then placed by its first x bytes,
   and the long tie behind them is resolved by the rank of the sample position. Equal windows
   stand together; memory is that of one block.
-* A bucket beyond `HOT` members (a passage in very many texts) is not sorted in one task:
+* A bucket of more than `HOT` texts (a passage in very many texts) is not sorted in one task:
   its windows are grouped by 128 bits of their bytes instead, with partial counts before the
   shuffle.
 
@@ -41,11 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import arrow_rows, content_key, importable, text_of
+from rollbook.llm.common import arrow_rows, content_key, importable, text_of, written
 
 #: Bytes of a repeated string, and of the gram that names a bucket.
 SIZE, GRAM = 200, 32
-#: Members of a bucket from which its windows are counted by hash, and those sorted at once.
+#: Texts with members in a bucket beyond which its windows are counted by hash, and members
+#: sorted at once. A text has one row for equal surroundings, so the texts are what counts.
 HOT, BLOCK = 16_384, 8_192
 #: Window starts of a text that are sampled at once.
 PIECE = 1 << 22
@@ -108,7 +109,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def buckets_of(keyed: DataFrame, size: int, gram: int) -> DataFrame:
-    """(h, k1, k2, n): the buckets a text has members in, and how many."""
+    """(h, k1, k2, doc_id, n): the buckets a text has members in, and how many."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,28 +120,26 @@ def buckets_of(keyed: DataFrame, size: int, gram: int) -> DataFrame:
                 counts.append(count)
                 rows.append(np.full(len(found), n))
             take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            columns = [pa.array(np.concatenate(hashes)), batch.column("k1").take(take), batch.column("k2").take(take), pa.array(np.concatenate(counts))]
-            return pa.RecordBatch.from_arrays(columns, ["h", "k1", "k2", "n"])
+            columns = [pa.array(np.concatenate(hashes)), *(batch.column(c).take(take) for c in ("k1", "k2", "doc_id")), pa.array(np.concatenate(counts))]
+            return pa.RecordBatch.from_arrays(columns, ["h", "k1", "k2", "doc_id", "n"])
 
         return each
 
-    long_ = keyed.where(F.length("data") >= size).select("k1", "k2", "data")
-    return arrow_rows(long_, make, "h long, k1 long, k2 long, n long")
+    long_ = keyed.where(F.length("data") >= size).select("doc_id", "k1", "k2", "data")
+    return arrow_rows(long_, make, "h long, k1 long, k2 long, doc_id long, n long")
 
 
 def _contexts(size: int, gram: int):
     """One row for each distinct surrounding of a sample position in a text, with all its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = None
         for batch in batches:
             rows: list[tuple] = []
             held = 0
             for n in range(batch.num_rows):
-                key = batch.column("k1")[n].as_py(), batch.column("k2")[n].as_py()
-                if key == done:
+                if batch.column("doc_id")[n].as_py() != batch.column("chosen")[n].as_py():
                     continue
-                done = key
+                key = batch.column("k1")[n].as_py(), batch.column("k2")[n].as_py()
                 data = batch.column("data")[n].as_py()
                 wanted = np.array(batch.column("hs")[n].as_py(), np.int64).view(np.uint64)
                 bucket, place, first, last = samples(np.frombuffer(data, np.uint8), size, gram)
@@ -229,7 +228,7 @@ def _sort_blocks(size: int, gram: int):
         bucket = rows["h"].to_numpy()
         k1, k2, before = (rows[c].to_numpy() for c in ("k1", "k2", "before"))
         contexts, starts = rows["context"].to_pylist(), rows["starts"].to_pylist()
-        # copies of one text may have been read by two tasks: their rows are the same
+        # rows with one id and one text have been read twice: theirs are the same
         seen: set[tuple] = set()
         keep = [i for i, key in enumerate(zip(bucket.tolist(), k1.tolist(), k2.tolist(), (s[0] for s in starts), strict=True)) if key not in seen and not seen.add(key)]
         bucket, k1, k2, before = bucket[keep], k1[keep], k2[keep], before[keep]
@@ -296,26 +295,32 @@ def duplicate_starts(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot:
     found = buckets_of(keyed, size, gram)
     several = "a1 != b1 or a2 != b2 or n > 1"
     counted = found.groupBy("h").agg(
-        F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2"), F.max("n").alias("n"), F.sum("n").alias("c")
+        F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2"), F.max("n").alias("n"), F.count("*").alias("c")
     )
-    shared = counted.where(several).select("h", (F.col("c") > hot).alias("hot"))
-    member = found.select("h", "k1", "k2").join(shared, "h")
-
-    def contexts(of: DataFrame) -> DataFrame:
-        per_text = of.groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
-        joined = keyed.join(per_text, ["k1", "k2"]).select("doc_id", "k1", "k2", "data", "hs")
-        return joined.mapInArrow(_contexts(size, gram), _CONTEXT_DDL)
-
-    dealt = contexts(member.where("not hot")).repartition("h").sortWithinPartitions("h")
+    shared = written(counted.where(several).select("h", (F.col("c") > hot).alias("hot")), "shared")
+    # of the copies of a text one is read
+    cold, heated = (F.collect_set(F.when(c, F.col("h"))) for c in (~F.col("hot"), F.col("hot")))
+    member = found.select("h", "k1", "k2", "doc_id").join(shared, "h")
+    per_text = written(member.groupBy("k1", "k2").agg(cold.alias("cold"), heated.alias("heated"), F.min("doc_id").alias("chosen")), "members")
+
+    def contexts(buckets: str) -> DataFrame:
+        # the texts are dealt as for the last join of `deduplicate`, so once for both: a
+        # broadcast in one of the two would have them read and dealt again for the other
+        wanted = per_text.where(F.size(buckets) > 0).select("k1", "k2", F.col(buckets).alias("hs"), "chosen")
+        return keyed.join(wanted.hint("merge"), ["k1", "k2"]).select("doc_id", "k1", "k2", "data", "hs", "chosen").mapInArrow(_contexts(size, gram), _CONTEXT_DDL)
+
+    dealt = contexts("cold").repartition("h").sortWithinPartitions("h")
     runs = dealt.mapInArrow(_sort_blocks(size, gram), "k1 long, k2 long, s long, e long")
-    windows = arrow_rows(contexts(member.where("hot")), _hot_windows(size, gram), "w1 long, w2 long, k1 long, k2 long, p long")
-    twice = windows.groupBy("w1", "w2").agg(
-        F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2"), F.min("p").alias("p0"), F.max("p").alias("p1")
-    )
-    single = windows.join(twice.where("a1 != b1 or a2 != b2 or p0 != p1").select("w1", "w2"), ["w1", "w2"])
+    if not shared.where("hot").isEmpty():
+        windows = arrow_rows(contexts("heated"), _hot_windows(size, gram), "w1 long, w2 long, k1 long, k2 long, p long")
+        twice = windows.groupBy("w1", "w2").agg(
+            F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2"), F.min("p").alias("p0"), F.max("p").alias("p1")
+        )
+        single = windows.join(twice.where("a1 != b1 or a2 != b2 or p0 != p1").select("w1", "w2"), ["w1", "w2"])
+        runs = runs.union(single.select("k1", "k2", F.col("p"), F.col("p")))
     whole = keyed.select("k1", "k2", F.length("data").cast("long").alias("n")).groupBy("k1", "k2", "n").agg(F.count("*").alias("c"))
     whole = whole.where((F.col("c") > 1) & (F.col("n") >= size)).select("k1", "k2", F.lit(0).cast("long"), F.col("n") - size)
-    return runs.union(single.select("k1", "k2", F.col("p"), F.col("p"))).union(whole)
+    return runs.union(whole)
 
 
 def removed_runs(starts: np.ndarray, size: int = SIZE) -> list[tuple[int, int]]:
@@ -355,5 +360,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return each
 
-    joined = keyed.join(per_text, ["k1", "k2"], "left").select("doc_id", "data", "runs")
+    joined = keyed.join(per_text.hint("merge"), ["k1", "k2"], "left").select("doc_id", "data", "runs")
     return arrow_rows(joined, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")

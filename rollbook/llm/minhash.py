@@ -255,9 +255,11 @@ def _apart_in_crowds(open_: DataFrame, graded: DataFrame) -> DataFrame:
     step = 0.03
     most = F.least(1.25 * F.col("n"), 2.25 * F.col("common") - F.col("n"))
     sizes = F.sequence(F.floor(F.log(0.8 * F.col("n")) / step).cast("int"), F.floor(F.log(most) / step).cast("int"))
-    p = apart.where("180 * common >= 144 * n").select("b", F.col("cls").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.explode(sizes).alias("size"))
-    m = open_.select("b", F.col("cls").alias("m"), F.col("root").alias("m_root"), F.col("n").alias("mn"), F.col("common").alias("mc"), F.floor(F.log("n") / step).cast("int").alias("size"))
-    by_size = p.join(m, ["b", "size"]).where("p_root != m_root and 180 * least(pc, mc) >= 80 * (pn + mn)").select("p", "m")
+    p = apart.where("180 * common >= 144 * n").select("b", F.col("cls").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("pn"), F.col("common").alias("pc"), F.col("bands").alias("p_bands"), F.explode(sizes).alias("size"))
+    m = open_.select("b", F.col("cls").alias("m"), F.col("root").alias("m_root"), F.col("n").alias("mn"), F.col("common").alias("mc"), F.col("bands").alias("m_bands"), (F.col("root") == F.col("main")).alias("in_main"), F.floor(F.log("n") / step).cast("int").alias("size"))
+    # of the buckets two classes share, the first one brings them together
+    meet = "p_root != m_root and (in_main or p < m) and 180 * least(pc, mc) >= 80 * (pn + mn) and b = array_min(array_intersect(p_bands, m_bands))"
+    by_size = p.join(m, ["b", "size"]).where(meet).select("p", "m")
 
     def rare(rows: DataFrame, side: str) -> DataFrame:
         own = rows.select("cls", "root").distinct().join(graded, "cls")
@@ -275,7 +277,7 @@ def link_stars(docs: DataFrame, sketched: DataFrame, crowd: int = CROWD) -> Data
     banded = sketched.where("cls is not null").select("cls", F.xxhash64("cls").alias("c"), F.explode("bands").alias("b"))
     shared = banded.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("b")
     members = written(banded.join(shared, "b").select("b", "cls").distinct(), "buckets")
-    classes = sketched.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "k1", "k2", "n", "sig")).alias("x"))
+    classes = sketched.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "k1", "k2", "n", "sig", "bands")).alias("x"))
     classes = written(classes.select("cls", "x.*"), "classes")
     # one document stands for a class; further rows of it with one id would only repeat a link
     chosen = classes.select("cls", "k1", "k2", F.col("doc_id").alias("chosen"))
@@ -293,7 +295,7 @@ def link_stars(docs: DataFrame, sketched: DataFrame, crowd: int = CROWD) -> Data
 
     crowd_rows = _open(members, roots).where(F.col("total") > crowd).select("b", "cls")
     graded = graded_shingles(texts, crowd_rows.select("cls").distinct())
-    graded = written(graded.join(classes.select("cls", "n"), "cls"), "graded")
+    graded = written(graded.join(classes.select("cls", "n", "bands"), "cls"), "graded")
     crowds = written(crowd_rows.join(graded.drop("rare"), "cls"), "crowds")
     roots = linked_again(written(_likely(_centres(_open(crowds, roots)), classes), "pairs"), roots)
 

@@ -49,7 +49,7 @@ def _replacement(i: int) -> Column:
 
 
 def load_phone_rules(lines: DataFrame) -> DataFrame:
-    """(rule_no, pattern, status, date, template, code)."""
+    """(rule_no, pattern, status, date, template, code). A pattern has ten characters or more, as keys have."""
     rows = _body(lines).where(F.size(_parts()) >= 5)
     rules = rows.select(
         F.col("line_no").alias("rule_no"),
@@ -59,7 +59,7 @@ def load_phone_rules(lines: DataFrame) -> DataFrame:
         _replacement(3).alias("template"),
         _replacement(4).alias("code"),
     )
-    return rules.where(F.length("pattern") == 10)
+    return rules.where(F.length("pattern") >= 10)
 
 
 def load_rename_rules(lines: DataFrame) -> DataFrame:
@@ -85,7 +85,8 @@ def judge_overrides(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every non-blank line of an override file with a verdict: kept, bad, duplicate, sequence.
 
     A phone below the largest phone kept so far is out of sequence, and one already kept is
-    a duplicate; both follow from the running maximum over the valid lines above. It is
+    a duplicate; both follow from the running maximum over the valid lines above. Of
+    phones of several lengths the longer one is the larger, as with numbers. The maximum is
     formed per block of lines and over the few block maxima, so no task sees the whole file.
     """
     body = F.trim("value")
@@ -104,7 +105,8 @@ def judge_overrides(lines: DataFrame, block: int = BLOCK) -> DataFrame:
         code.alias("code"),
         F.coalesce(bad, F.lit(True)).alias("bad"),
     )
-    valid = F.when(~F.col("bad"), F.col("phone"))
+    place = F.struct(F.length("phone"), "phone")
+    valid = F.when(~F.col("bad"), place)
     per_block = rows.groupBy("block").agg(F.max(valid).alias("block_max"))
     above = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_block.select("block", F.max("block_max").over(above).alias("carried"))
@@ -116,13 +118,13 @@ def judge_overrides(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     first = judged.where(~F.col("bad")).groupBy("phone").agg(
         F.min("line_no").alias("first_line"), F.min_by("running", "line_no").alias("first_running")
     )
-    was_kept = F.col("first_running").isNull() | (F.col("phone") >= F.col("first_running"))
+    was_kept = F.col("first_running").isNull() | (place >= F.col("first_running"))
     joined = judged.join(first, "phone", "left")
     later = F.col("line_no") > F.col("first_line")
     verdict = (
         F.when(F.col("bad"), "bad")
         .when(later & was_kept, "duplicate")
-        .when(F.col("phone") < F.col("running"), "sequence")
+        .when(place < F.col("running"), "sequence")
         .otherwise("kept")
     )
     return joined.select("line_no", "phone", "code", verdict.alias("verdict"))

@@ -27,14 +27,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (u, v); the root is the least node reachable.
 
     Each round is written to the shared folder. Both steps keep what is connected, so it ends
-    when no node has a link above and below: then every link leads straight to a root. That
-    takes a number of rounds that grows with the logarithm of the size of a component.
+    when a node with a link to a lesser one has no other link: then every node has one link,
+    which leads straight to the only root of its component. That takes a number of rounds
+    that grows with the logarithm of the size of a component.
     """
     edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while True:
         edges = written(_small(_large(edges)), "stars")
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(2)))
-        between = ends.groupBy("node").agg(F.min("up").alias("a"), F.max("up").alias("b")).where("a != b")
+        ends = edges.select(F.col("u").alias("node"), F.lit(True).alias("lower")).union(edges.select("v", F.lit(False)))
+        between = ends.groupBy("node").agg(F.max("lower").alias("lower"), F.count("*").alias("links")).where("lower and links > 1")
         if between.isEmpty():
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

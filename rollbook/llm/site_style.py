@@ -4,20 +4,21 @@ The trees of all pages of one host are merged: a node of the style tree is a pat
 elements with their classes. Its importance joins two entropies, both with the number of
 its pages as base: that of its presentations (the sequences of child elements), and that of
 its contents - a text that stands on all pages of a node has entropy one and no importance,
-one that stands on a single page has full importance. Branches of low importance are
+one that stands on a single page has full importance. Pages of one text are one page there,
+under whatever addresses, so copies do not make a text look like a notice. Branches of low importance are
 removed from each page; what is left is its text.
 
 What an element says of itself is its presentation as well, and is known without a second
 page: menus, headers, footers, sidebars, notices, adverts, forms, comments and the like (by
 element, role, class or id) have no importance, and an article or a main element has, so it
-is never removed, and on a page that has one nothing outside it counts.
+is never removed, nor is what stands around it, and on a page that has one nothing outside it counts.
 
 The tree is a set of aggregates by (host, path): one row for each path of a page, partial
 sums before the shuffle, so a hot host is a few rows per task. Low branches of a page are
 written first, and Spark joins them to the pages as their measured size allows.
 
 Cases: null and empty html have an empty text. Broken and cut off pages are read as far as
-they go. Pages without a host form one site of their own each. Hosts of few pages keep all
+they go. Pages without a host form one site of their own each and keep all branches. Hosts of few pages keep all
 branches that do not call themselves otherwise. Repeated rows each get their row, an empty
 table gives an empty result. Only id, url and html are read.
 """
@@ -55,10 +56,11 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "noise", "main")
+    __slots__ = ("tag", "label", "parent", "children", "noise", "main", "kept")
 
     def __init__(self, tag: str, label: str, parent: Node | None, noise: bool, main: bool):
         self.tag, self.label, self.parent, self.noise, self.main = tag, label, parent, noise, main
+        self.kept = False  # is a main element or holds one
         self.children: list[Node | str] = []
 
 
@@ -85,6 +87,9 @@ class Tree(HTMLParser):
         self.has_main |= main and not noise
         node = Node(tag, f"{tag}.{values.get('class', '')}", self.at, noise, (inside or main) and not noise)
         self.at.children.append(node)
+        above = node if main and not noise else None
+        while above is not None and not above.kept:
+            above.kept, above = True, above.parent
         if tag not in VOID:
             self.at = node
 
@@ -171,6 +176,12 @@ def branches(tree: Tree) -> dict[int, tuple[int, int]]:
     return {p: (_hash(*shown[p]), _hash(*held[p])) for p in shown}
 
 
+def page_of(tree: Tree) -> int:
+    """What pages of one text have in common: a hash of the text of its main elements, or of all of it."""
+    tops = [n for n, _ in walk(tree) if n.main and not n.parent.main] if tree.has_main else [tree.root]
+    return _hash(*map(text_under, tops))
+
+
 def main_text(tree: Tree, low: set[int]) -> str:
     """The blocks of what is left, in page order."""
     blocks: list[str] = []
@@ -193,7 +204,7 @@ def main_text(tree: Tree, low: set[int]) -> str:
         if isinstance(node, str):
             line.append(node)
             continue
-        if node.noise or path in low and not node.main:
+        if node.noise or path in low and not node.main and not node.kept:
             continue
         if node.tag == "br":
             line.append(" ")
@@ -209,28 +220,32 @@ def main_text(tree: Tree, low: set[int]) -> str:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """site, path, shown, held of every page's branches, with the key of the page."""
+    """site, path, shown, held of the branches of every page with a host, with what stands for its text and its key."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []
             for k1, k2, url, html in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "url", "html")), strict=True):
                 host = host_of(url)
-                site = _hash(host) if host else _hash("page", str(k1), str(k2))
-                rows += [(site, path, shown, held, k1, k2) for path, (shown, held) in branches(parsed(html)).items()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["site", "path", "shown", "held", "k1", "k2"])
+                if not host:
+                    continue
+                tree = parsed(html)
+                site, page = _hash(host), page_of(tree)
+                rows += [(site, path, shown, held, page, k1, k2) for path, (shown, held) in branches(tree).items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["site", "path", "shown", "held", "page", "k1", "k2"])
 
         return each
 
-    return arrow_rows(pages, make, "site long, path long, shown long, held long, k1 long, k2 long")
+    return arrow_rows(pages, make, "site long, path long, shown long, held long, page long, k1 long, k2 long")
 
 
 def importance(found: DataFrame) -> DataFrame:
-    """(site, path, importance) of the merged tree's nodes that have enough pages."""
+    """(site, path, importance) of the merged tree's nodes that have enough pages; copies of a page count once."""
+    once = found.groupBy("site", "path", "page").agg(F.min(F.struct("shown", "held")).alias("x")).select("site", "path", "x.*")
 
     def entropy(of: str) -> DataFrame:
-        counts = found.groupBy("site", "path", of).agg(F.count("*").alias("c"))
+        counts = once.groupBy("site", "path", of).agg(F.count("*").alias("c"))
         n, log_sum = F.sum("c"), F.sum(F.col("c") * F.log("c"))
         # sum of c log c over n log n: one if all pages agree, nought if all differ
         return counts.groupBy("site", "path").agg(n.alias("pages"), (log_sum / (n * F.log(n))).alias(of))

@@ -12,6 +12,8 @@ What an element says of itself is its presentation as well, and is known without
 page: menus, headers, footers, sidebars, notices, adverts, forms, comments and the like (by
 element, role, class or id) have no importance, and an article or a main element has, so it
 is never removed, nor is what stands around it, and on a page that has one nothing outside it counts.
+Class words of an article itself, those of layout states and a header block inside an
+article do not make noise.
 
 The tree is a set of aggregates by (host, path): one row for each path of a page, partial
 sums before the shuffle, so a hot host is a few rows per task. Low branches of a page are
@@ -51,6 +53,8 @@ NOISE_WORDS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 _SPACE = re.compile(r"\s+")
+#: Class names that tell a state of the layout, as no-sidebar, content-with-sidebar and comments-open do.
+_STATE = re.compile(r"(^|[-_])(no|has|with|without)[-_]|[-_](open|closed|enabled|disabled)$")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -78,11 +82,14 @@ class Tree(HTMLParser):
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_same(tag)
         values = {k: v or "" for k, v in attrs}
-        words = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        names = f"{values.get('class', '')} {values.get('id', '')}".lower().split()
+        words = {w for name in names if not _STATE.search(name) for w in re.split(r"[^a-z0-9]+", name)}
         main = tag in MAIN or values.get("role") == "main"
         inside = self.at.main
         noise = tag in NOISE_TAGS or (tag == "header" and not inside) or values.get("role") in NOISE_ROLES or "hidden" in values
-        noise = noise or bool(words & NOISE_WORDS and tag not in ("html", "body"))
+        # a main element wins over its words, and a header inside of one holds its title
+        named = words & NOISE_WORDS - ({"header"} if inside else set())
+        noise = noise or bool(named and not main and tag not in ("html", "body"))
         noise = self.at.noise or noise
         self.has_main |= main and not noise
         node = Node(tag, f"{tag}.{values.get('class', '')}", self.at, noise, (inside or main) and not noise)

@@ -32,3 +32,18 @@ def test_wrapper_of_an_article_stays(spark):
     tree = site_style.parsed(html)
     around = {p for n, p in site_style.walk(tree) if not n.main}
     assert site_style.main_text(tree, around) == odd.prose(9, 1)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<article class="post comments-open">%s</article>',
+        '<main class="content no-sidebar">%s</main>',
+        '<div role="main" id="ad">%s</div>',
+        '<div class="content-with-sidebar"><article>%s</article></div>',
+        '<article><div class="entry-header"><h1>%s</h1></div><div class="related">x</div></article>',
+        '<article>%s<section id="comments"><article class="comment">x</article></section><div class="ad">x</div></article><div class="sidebar">x</div>',
+    ],
+)
+def test_class_words_keep_the_article(html):
+    assert site_style.main_text(site_style.parsed(f"<body>{html % 'Title'}</body>"), set()) == "Title"

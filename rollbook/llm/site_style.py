@@ -13,16 +13,18 @@ page: menus, headers, footers, sidebars, notices, adverts, forms, comments and t
 element, role, class or id) have no importance, and an article or a main element has, so it
 is never removed, nor is what stands around it, and on a page that has one nothing outside it counts.
 Class words of an article itself, those of layout states and a header block inside an
-article do not make noise.
+article do not make noise. Branches below a main element are in the style tree as well and
+go like others, unless that would take more than half of the page's text: then it is the
+article itself that stands on several pages.
 
 The tree is a set of aggregates by (host, path): one row for each path of a page, partial
 sums before the shuffle, so a hot host is a few rows per task. Low branches of a page are
 written first, and Spark joins them to the pages as their measured size allows.
 
 Cases: null and empty html have an empty text. Broken and cut off pages are read as far as
-they go. Pages without a host form one site of their own each and keep all branches. Hosts of few pages keep all
-branches that do not call themselves otherwise. Repeated rows each get their row, an empty
-table gives an empty result. Only id, url and html are read.
+they go. Pages without a host form one site of their own each and keep all
+branches. Hosts of few pages keep all branches that do not call themselves otherwise.
+Repeated rows each get their row, an empty table gives an empty result. Only id, url and html are read.
 """
 
 from __future__ import annotations
@@ -172,11 +174,12 @@ def text_under(node: Node) -> str:
 
 
 def branches(tree: Tree) -> dict[int, tuple[int, int]]:
-    """By path: its presentation and its content on this page. Main branches are not listed."""
+    """By path: its presentation and its content on this page. Main elements and what holds them are not
+    listed, nor what lies outside them."""
     shown: dict[int, list[str]] = {}
     held: dict[int, list[str]] = {}
     for node, path in walk(tree):
-        if node.parent is not None and not node.main and node.tag not in ("html", "body"):
+        if node.parent is not None and not node.kept and node.main == tree.has_main and node.tag not in ("html", "body"):
             tags = [c.label for c in node.children if isinstance(c, Node)]
             shown.setdefault(path, []).append(",".join(t for i, t in enumerate(tags) if not i or t != tags[i - 1]))
             held.setdefault(path, []).append(text_under(node))
@@ -211,7 +214,7 @@ def main_text(tree: Tree, low: set[int]) -> str:
         if isinstance(node, str):
             line.append(node)
             continue
-        if node.noise or path in low and not node.main and not node.kept:
+        if node.noise or path in low and not node.kept:
             continue
         if node.tag == "br":
             line.append(" ")
@@ -223,7 +226,11 @@ def main_text(tree: Tree, low: set[int]) -> str:
             todo.append(None)
         todo += reversed(children)
     end()
-    return "\n".join(blocks)
+    text = "\n".join(blocks)
+    if tree.has_main and low:
+        whole = main_text(tree, set())
+        return whole if 2 * len(text) < len(whole) else text
+    return text
 
 
 def nodes(pages: DataFrame) -> DataFrame:

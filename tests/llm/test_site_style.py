@@ -47,3 +47,17 @@ def test_wrapper_of_an_article_stays(spark):
 )
 def test_class_words_keep_the_article(html):
     assert site_style.main_text(site_style.parsed(f"<body>{html % 'Title'}</body>"), set()) == "Title"
+
+
+def test_repeated_box_inside_articles(spark):
+    page = '<body><div class="wrap"><article><h1>About {0}</h1><p>{1}</p><div class="x2"><p>Read all our stories</p></div></article></div></body>'
+    pages = [(n, f"https://a.example.org/{n}", page.format(n, odd.prose(30, n))) for n in range(12)]
+    got = texts(spark, pages + [(50, "https://b.example.org/", page.format(50, odd.prose(30, 50)))])
+    assert all(got[n] == f"About {n}\n{odd.prose(30, n)}" for n in range(12))
+    assert got[50] == f"About 50\n{odd.prose(30, 50)}\nRead all our stories"
+
+
+def test_one_story_on_several_pages_stays(spark):
+    pages = [(n, f"https://a.example.org/{n}", f'<article><h1>Part {n}</h1><div class="x1"><p>{odd.prose(30, 1)}</p></div></article>') for n in range(12)]
+    got = texts(spark, pages)
+    assert all(got[n] == f"Part {n}\n{odd.prose(30, 1)}" for n in range(12))

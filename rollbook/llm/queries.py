@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe, decontaminate, minhash, order_minhash, packing, pii, secret_scan, site_style, suffix_dedup, toxicity
+from rollbook.llm import bpe, decontaminate, filter_audit, minhash, order_minhash, packing, pii, secret_scan, site_style, suffix_dedup, toxicity
 from rollbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,10 @@ def query(f):
     return f
 
 
+def twin(name: str, sql: str) -> None:
+    ORACLE[name] = sql
+
+
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
@@ -70,3 +74,64 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.extract(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filter_audit.sample_fails, 4)
+    return filter_audit.audit(counted, "ABCDE")
+
+
+twin(
+    "op12_filter_audit",
+    r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+    ), counted AS (
+        SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+            min(doc_id) OVER (PARTITION BY t) AS least
+        FROM texts
+    ), failed AS (
+        SELECT doc_id, part,
+            CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN least < doc_id THEN 'E' ELSE '' END AS f
+        FROM counted
+    ), marked AS (
+        SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+    ), masks AS (
+        SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+        FROM failed LEFT JOIN marked USING (doc_id) GROUP BY part, f
+    ), letters AS (
+        SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+    ), orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+        FROM letters a
+        JOIN letters b ON b.x <> a.x
+        JOIN letters c ON c.x NOT IN (a.x, b.x)
+        JOIN letters d ON d.x NOT IN (a.x, b.x, c.x)
+        JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+    ), steps AS (
+        SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before
+        FROM orders, range(1, 6) AS r(step)
+    ), told AS (
+        SELECT part, filter_order, step, x,
+            contains(f, x) AS fails, translate(f, before, '') = f AS reached, f = x AS only_x, n, good, toxic
+        FROM masks, steps
+    ), summed AS (
+        SELECT part, filter_order, step, x,
+            coalesce(sum(n) FILTER (WHERE reached AND NOT fails), 0)::BIGINT AS kept,
+            coalesce(sum(n) FILTER (WHERE reached AND fails), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (WHERE NOT reached AND fails), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (WHERE only_x), 0)::BIGINT AS unique_fails,
+            coalesce(sum(good) FILTER (WHERE reached AND fails), 0)::BIGINT AS good_lost,
+            coalesce(sum(toxic) FILTER (WHERE reached AND fails), 0)::BIGINT AS toxic_lost
+        FROM told GROUP BY part, filter_order, step, x
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+    FROM summed
+    """,
+)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe, decontaminate, filter_audit, minhash, order_minhash, packing, pii, secret_scan, site_style, suffix_dedup, toxicity
+from rollbook.llm import bpe, decontaminate, filter_audit, license_scan, minhash, order_minhash, packing, pii, secret_scan, site_style, suffix_dedup, toxicity, variants
 from rollbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,59 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.extract(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.words(table(spark, sf_dir, "documents"), noise=31))
+
+
+twin(
+    "op11_spelling_variants",
+    r"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run
+        FROM documents
+    ), found AS (
+        SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run
+    ), spelled AS (
+        SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM found
+    ), bytes AS (
+        SELECT run, n, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM spelled
+    ), bits AS (
+        SELECT run, n, flatten(list_transform(bytes, lambda b: list_transform(range(8), lambda k: (b >> k) & 1))) AS bits FROM bytes
+    ), hashed AS (
+        SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+            list_prepend(4294967295::BIGINT, bits), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1)))) AS h
+        FROM bits
+    ), noisy AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+        FROM hashed
+    ), words AS (
+        SELECT word, sum(n)::BIGINT AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), holes AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), shorter AS (
+        SELECT DISTINCT h.word AS longer, h.n AS n, w.word AS shorter, w.n AS m FROM holes h JOIN words w ON h.rest = w.word
+    ), near AS (
+        SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION ALL SELECT longer, shorter, m FROM shorter
+        UNION ALL SELECT shorter, longer, n FROM shorter
+    ), ranked AS (
+        SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near
+    ), judged AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+        FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1
+    ), ways AS (
+        SELECT word, word AS at FROM judged
+        UNION ALL SELECT ways.word, j.form FROM ways JOIN judged j ON ways.at = j.word WHERE j.form IS NOT NULL
+    ), ends AS (
+        SELECT ways.word, at AS root FROM ways JOIN judged j ON ways.at = j.word WHERE j.form IS NULL
+    )
+    SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+    """,
+)
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filter_audit.sample_fails, 4)
@@ -135,3 +188,8 @@ twin(
     FROM summed
     """,
 )
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(license_scan.scan(table(spark, sf_dir, "documents")))

@@ -119,10 +119,10 @@ twin(
         SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
         FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1
     ), ways AS (
-        SELECT word, word AS at FROM judged
-        UNION ALL SELECT ways.word, j.form FROM ways JOIN judged j ON ways.at = j.word WHERE j.form IS NOT NULL
+        SELECT word, word AS here FROM judged
+        UNION ALL SELECT ways.word, j.form FROM ways JOIN judged j ON ways.here = j.word WHERE j.form IS NOT NULL
     ), ends AS (
-        SELECT ways.word, at AS root FROM ways JOIN judged j ON ways.at = j.word WHERE j.form IS NULL
+        SELECT ways.word, here AS root FROM ways JOIN judged j ON ways.here = j.word WHERE j.form IS NULL
     )
     SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
     """,

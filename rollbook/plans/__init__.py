@@ -10,6 +10,7 @@ from rollbook.plans import (  # noqa: F401
     rank_queries,
     rule_queries,
     source_queries,
+    stream_queries,
 )
 from rollbook.plans.base import ORACLE, QUERIES
 

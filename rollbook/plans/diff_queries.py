@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollbook.operators import diff, flows, rollup
+from rollbook.operators import diff, flows, maintain, rollup
 from rollbook.plans.base import (
     CHANGES_SQL,
     EDGES_SQL,
@@ -14,8 +16,11 @@ from rollbook.plans.base import (
     dated,
     group_membership,
     query,
+    snapshot,
     with_snap,
 )
+from rollbook.session import materialise, scratch_path
+from rollbook.sources import sinks
 
 PAIR_SELECT = """SELECT q.period AS prev_period, p.period AS curr_period, p.mno - q.mno AS months_covered,
   count(*) FILTER (WHERE a_owner <> b_owner) AS transfers,
@@ -37,17 +42,16 @@ def _(spark, d):
     return diff.pair_totals(*dated(spark, d, "N"))
 
 
-@query(
-    "snapshot_diff_full_outer",
-    with_snap(
-        CHANGES_SQL,
-        """SELECT idx, count(*) AS n, count(a_owner) AS n_prev, count(b_owner) AS n_curr,
-        count(*) FILTER (WHERE a_owner IS NOT NULL AND b_owner IS NOT NULL) AS n_both FROM chg GROUP BY idx""",
-        "R",
-    ),
+FULL_OUTER_SQL = with_snap(
+    CHANGES_SQL,
+    """SELECT idx, count(*) AS n, count(a_owner) AS n_prev, count(b_owner) AS n_curr,
+    count(*) FILTER (WHERE a_owner IS NOT NULL AND b_owner IS NOT NULL) AS n_both FROM chg GROUP BY idx""",
+    "R",
 )
-def _(spark, d):
-    rows = diff.with_period_index(*dated(spark, d, "R"))
+
+
+def full_outer_counts(rows: DataFrame) -> DataFrame:
+    """Rows of every pair of periods by the side they are on, by a join of the pairs."""
     both = diff.full_diff(diff.shifted(rows), rows.where(F.col("idx") > 1), ["key", "idx"])
     return both.groupBy("idx").agg(
         F.count("*").alias("n"),
@@ -57,6 +61,34 @@ def _(spark, d):
     )
 
 
+@query("snapshot_diff_full_outer", FULL_OUTER_SQL)
+def _(spark, d):
+    return full_outer_counts(diff.with_period_index(*dated(spark, d, "R")))
+
+
+def bucketed(spark: SparkSession, d: str, owner: str) -> DataFrame:
+    """The snapshot as a table in buckets by key, as a load would keep it. As many buckets as
+    the cluster has shuffle partitions."""
+    name, buckets = f"snapshot_{uuid.uuid4().hex[:12]}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sinks.write_bucketed(snapshot(spark, d, owner), name, buckets, scratch_path(spark, name))
+    return sinks.bucketed_table(spark, name)
+
+
+@query("snapshot_diff_bucketed", FULL_OUTER_SQL)
+def _(spark, d):
+    return full_outer_counts(diff.with_period_index(bucketed(spark, d, "R")))
+
+
+@query("pair_totals_bucketed", with_snap(CHANGES_SQL, PAIR_SELECT, "R"))
+def _(spark, d):
+    return diff.pair_totals(bucketed(spark, d, "R"))
+
+
+@query("flow_edges_bucketed", with_snap(EDGES_SQL, "SELECT * FROM edges", "R"))
+def _(spark, d):
+    return flows.flow_edges(bucketed(spark, d, "R"))
+
+
 @query(
     "transfers_inner",
     with_snap(
@@ -150,6 +182,37 @@ def _(spark, d):
     return flows.flow_edges(*dated(spark, d, "R"))
 
 
+def loaded_in_steps(spark: SparkSession, d: str, owner: str, build: maintain.Build, period_col: str) -> DataFrame:
+    """A derived table after two loads. The first lacks a period in the middle and the last
+    one and holds a third in another state; the second brings these three."""
+    rows = materialise(snapshot(spark, d, owner), "loads")
+    calendar = sorted(r["period"] for r in rows.select("period").distinct().collect())
+    late, replaced, last = calendar[len(calendar) // 2], calendar[len(calendar) // 3], calendar[-1]
+    snapshots, target = scratch_path(spark, "snapshots"), scratch_path(spark, "derived")
+    earlier = F.col("period") == replaced
+    stale = rows.withColumns({"owner": F.when(earlier, F.lit("??")).otherwise(F.col("owner")), "status": F.when(earlier, 3).otherwise(F.col("status"))})
+    sinks.replace_periods(stale.where(~F.col("period").isin(late, last)), snapshots)
+    maintain.refresh(spark, snapshots, target, build, [p for p in calendar if p not in (late, last)], period_col)
+    sinks.replace_periods(rows.where(F.col("period").isin(late, replaced, last)), snapshots)
+    maintain.refresh(spark, snapshots, target, build, [late, replaced, last], period_col)
+    return spark.read.parquet(target)
+
+
+@query("incremental_rollup", with_snap(ROLLUP_SQL, "SELECT * FROM roll"))
+def _(spark, d):
+    return loaded_in_steps(spark, d, "N", rollup.owner_period_rollup, "period")
+
+
+@query("incremental_flow_edges", with_snap(EDGES_SQL, "SELECT * FROM edges", "R"))
+def _(spark, d):
+    return loaded_in_steps(spark, d, "R", flows.flow_edges, "curr_period")
+
+
+@query("incremental_pair_totals", with_snap(CHANGES_SQL, PAIR_SELECT, "R"))
+def _(spark, d):
+    return loaded_in_steps(spark, d, "R", diff.pair_totals, "curr_period")
+
+
 @query(
     "partner_flows",
     with_snap(

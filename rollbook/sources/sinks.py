@@ -26,9 +26,22 @@ def write_snapshots(df: DataFrame, path: str, mode: str = "errorifexists", files
     writer.partitionBy("period").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
-    """Catalog table bucketed by key: the diff over it needs no shuffle at all."""
-    df.write.bucketBy(buckets, "key").sortBy("key", "period").mode("overwrite").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Catalog table bucketed by key: the diff over it needs no shuffle at all.
+
+    The rows are dealt like the buckets first, so each bucket is one file.
+    """
+    writer = df.repartition(buckets, "key").write.option("compression", "zstd")
+    writer = writer.option("path", path) if path else writer
+    writer.bucketBy(buckets, "key").sortBy("key", "period").mode("overwrite").saveAsTable(table)
+
+
+def bucketed_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table in a session of its own, where a join by (key, idx) takes the buckets by key as
+    they are instead of shuffling both sides by both columns."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return session.table(table)
 
 
 def existing_periods(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +56,22 @@ def existing_periods(spark: SparkSession, path: str) -> DataFrame:
     return held.select(F.col("period").cast("string").alias("period")).distinct()
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, values: list[str]) -> None:
+    """Removes the partitions of the given values from a table below path, in any store that
+    Spark reads. Those that are not there are passed over."""
+    jvm = spark.sparkContext._jvm
+    for value in values:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{column}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_periods(rows: DataFrame, path: str) -> None:
+    """Writes whole periods, in place of what the table holds of them."""
+    keys = ("period", "key")
+    writer = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("period").parquet(path)
+
+
 def new_periods_only(rows: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of the periods that are not written yet."""
     return rows.join(F.broadcast(done.select("period").distinct()), "period", "left_anti")
@@ -60,9 +89,7 @@ def append_missing(rows: DataFrame, path: str, segments: tuple[int, ...] | None
     if segments is not None:
         whole = missing_segments(fresh, segments).where("complete").select("period")
         fresh = fresh.join(F.broadcast(whole), "period", "left_semi")  # a row per period of the calendar
-    keys = ("period", "key")
-    writer = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("period").parquet(path)
+    replace_periods(fresh, path)
 
 
 def _field(column: str, width: int) -> Column:

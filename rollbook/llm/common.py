@@ -71,3 +71,30 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
 
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+#: Numbers that a key filter tells apart: 2^25 bits are 1,024 rows of 4 kB, whatever the number of keys.
+FILTER = 1 << 25
+
+
+def _filter_place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER)) + 1
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashed keys. Its size is fixed; the more keys, the less it keeps out."""
+    place = _filter_place(F.col(key))
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits")
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(bits)
+
+
+def with_hits(rows: DataFrame, key: str, filter_: DataFrame, name: str) -> DataFrame:
+    """Adds whether the filter may hold the key: always for keys it was made of, seldom for
+    others. So only such rows need to be shuffled to be joined with the keys."""
+    place = _filter_place(F.col(key))
+    position = F.bitmap_bit_position(place)
+    byte = F.expr("substring(__bits, cast(__position div 8 as int) + 1, 1)")
+    bit = F.expr("shiftright(cast(conv(hex(__byte), 16, 10) as int), cast(__position % 8 as int)) & 1")
+    joined = rows.withColumns({"__bucket": F.bitmap_bucket_number(place), "__position": position}).join(F.broadcast(filter_), "__bucket", "left")
+    hit = F.coalesce(bit == 1, F.lit(False))
+    return joined.withColumn("__byte", byte).withColumn(name, hit).drop("__bucket", "__bits", "__position", "__byte")

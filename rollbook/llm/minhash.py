@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import arrow_rows, content_key, importable, text_of, written
+from rollbook.llm.common import arrow_rows, content_key, importable, key_filter, text_of, with_hits, written
 from rollbook.llm.components import components
 
 WORDS, BANDS, ROWS = 4, 24, 4
@@ -281,7 +281,9 @@ def link_stars(docs: DataFrame, sketched: DataFrame, crowd: int = CROWD) -> Data
     classes = written(classes.select("cls", "x.*"), "classes")
     # one document stands for a class; further rows of it with one id would only repeat a link
     chosen = classes.select("cls", "k1", "k2", F.col("doc_id").alias("chosen"))
-    texts = docs.select("doc_id", *content_key(F.col("text")), "text").join(chosen, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("chosen")))
+    # most texts are in no shared bucket: the filter keeps them out of the shuffle
+    keyed = with_hits(docs.select("doc_id", *content_key(F.col("text")), "text"), "k1", key_filter(chosen, "k1"), "hit").where("hit")
+    texts = keyed.join(chosen, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("chosen")))
     texts = written(texts.select("cls", "text"), "texts")
 
     def linked_again(pairs: DataFrame, before: DataFrame) -> DataFrame:
@@ -293,17 +295,27 @@ def link_stars(docs: DataFrame, sketched: DataFrame, crowd: int = CROWD) -> Data
     tried = written(_likely(star, classes), "pairs")
     roots = components(verified(tried.select("p", "m"), texts))
 
-    crowd_rows = _open(members, roots).where(F.col("total") > crowd).select("b", "cls")
-    graded = graded_shingles(texts, crowd_rows.select("cls").distinct())
-    graded = written(graded.join(classes.select("cls", "n", "bands"), "cls"), "graded")
-    crowds = written(crowd_rows.join(graded.drop("rare"), "cls"), "crowds")
-    roots = linked_again(written(_likely(_centres(_open(crowds, roots)), classes), "pairs"), roots)
-
-    few = _apart(_open(members, roots).where(F.col("total") <= crowd))
-    many = _apart_in_crowds(_open(crowds, roots), graded)
+    # only buckets that are not one component yet are looked at again, and each step only if there are any
+    left = written(_open(members, roots).select("b", "cls", "total"), "open")
+    crowd_rows = left.where(F.col("total") > crowd).select("b", "cls")
+    rest = None
+    if not crowd_rows.isEmpty():
+        graded = graded_shingles(texts, crowd_rows.select("cls").distinct())
+        graded = written(graded.join(classes.select("cls", "n", "bands"), "cls"), "graded")
+        crowds = written(crowd_rows.join(graded.drop("rare"), "cls"), "crowds")
+        central = written(_likely(_centres(_open(crowds, roots)), classes), "pairs")
+        if not central.isEmpty():
+            roots = linked_again(central, roots)
+        rest = _apart_in_crowds(_open(crowds, roots), graded)
+    small = left.where(F.col("total") <= crowd).select("b", "cls")
+    if not small.isEmpty():
+        few = _apart(_open(small, roots))
+        rest = few if rest is None else few.union(rest).distinct()
+    if rest is None:
+        return roots
     done = tried.select("p", "m").union(tried.select(F.col("m").alias("p"), F.col("p").alias("m")))
-    rest = _likely(few.union(many).distinct(), classes).join(done, ["p", "m"], "left_anti")
-    return linked_again(written(rest, "pairs"), roots)
+    rest = written(_likely(rest, classes).join(done, ["p", "m"], "left_anti"), "pairs")
+    return roots if rest.isEmpty() else linked_again(rest, roots)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -329,18 +341,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group with all its columns; of equal rows one stays.
 
-    What goes is written first, so Spark joins it to the documents as its size allows.
+    What goes is written first. Of the texts, only those that may be among it are shuffled.
     """
     rows = judged(docs, id_col, text_col)
     rows = rows.groupBy("doc_id", "k1", "k2").agg(F.first("kept").alias("kept"), F.count("*").alias("c"))
     marked = written(rows.where("not kept or c > 1"), "gone")
     k1, k2 = content_key(text_of(text_col))
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__k1": k1, "__k2": k2})
+    keyed = with_hits(keyed, "__k1", key_filter(marked, "k1"), "__hit")
 
     def same(table: DataFrame) -> F.Column:
         return keyed["__id"].eqNullSafe(table["doc_id"]) & (keyed["__k1"] == table["k1"]) & (keyed["__k2"] == table["k2"])
 
-    single = keyed.join(marked, same(marked), "left_anti")
+    hit = keyed.where("__hit")
+    single = keyed.where("not __hit").union(hit.join(marked, same(marked), "left_anti"))
     several = marked.where("kept")
-    once = keyed.join(several, same(several), "left_semi").dropDuplicates(["__id", "__k1", "__k2"])
-    return single.union(once).drop("__id", "__k1", "__k2")
+    if not several.isEmpty():
+        single = single.union(hit.join(several, same(several), "left_semi").dropDuplicates(["__id", "__k1", "__k2"]))
+    return single.drop("__id", "__k1", "__k2", "__hit")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.fence import settled
-from rollbook.functions.text import needle_pattern, stripped
+from rollbook.functions.text import stripped
 
 # Names too common to search for.
 STOP_NAMES = (
@@ -18,7 +18,7 @@ STOP_NAMES = (
 
 # Runs of word characters, and runs of other characters.
 _WORDS = r"[\p{L}\p{N}_]+"
-_NO_WORDS = r"[^\p{L}\p{N}_]+"
+_RUNS = rf"{_WORDS}|[^\p{{L}}\p{{N}}_]+"
 
 
 def needles(names: DataFrame, stop: Sequence[str] = STOP_NAMES) -> DataFrame:
@@ -28,37 +28,48 @@ def needles(names: DataFrame, stop: Sequence[str] = STOP_NAMES) -> DataFrame:
     return low.where((F.length("needle") >= 5) & ~F.col("needle").isin(*stop)).distinct()
 
 
+def _token_shapes(wanted: DataFrame) -> list[tuple[bool, int]]:
+    """(begins with a word, number of runs) of the needles. Names are short, so these are few."""
+    runs = F.regexp_extract_all("needle", F.lit(_RUNS), F.lit(0))
+    shapes = wanted.select(F.col("needle").rlike(f"^{_WORDS}").alias("word"), F.size(runs).alias("n")).distinct()
+    return sorted((r["word"], r["n"]) for r in shapes.collect())
+
+
+def _stretches(tokens: Column, shapes: Sequence[tuple[bool, int]]) -> Column:
+    """All stretches of the runs of a text that have one of the shapes. One that begins or
+    ends with a run of other characters has a word beside it, as that run is a whole one."""
+
+    def stretch(n: int):
+        return lambda i: F.array_join(F.slice(tokens, i, n), "")
+
+    size = F.size(tokens)
+    first = F.when(F.get(tokens, F.lit(0)).rlike(f"^{_WORDS}"), 1).otherwise(2)
+    parts = []
+    for word, n in shapes:
+        start = first if word else first + 1
+        ends_with_word = word == (n % 2 == 1)
+        last = size - n + 1 if ends_with_word else size - n
+        places = F.when(last >= start, F.sequence(start, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        parts.append(F.transform(places, stretch(n)))
+    return F.array_distinct(F.concat(*parts))
+
+
 def mention_search(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(owner, doc_id) for every text that mentions a needle between word boundaries.
 
-    A needle that occurs contains its longest run of word characters as a whole word of the
-    text, so candidates come from an equi-join on that word. A needle that is one word is
-    found by the join alone; of the others only the candidates are tested with the full
-    pattern. Texts are not multiplied: the first join works on (doc_id, word) alone.
+    A text is a sequence of runs of word characters and runs of others. A needle stands in it
+    between boundaries if and only if some stretch of whole runs equals the needle. So each text
+    is cut once into its distinct stretches of the needles' shapes, and an equi-join finds
+    the needles; texts are read once and never shuffled. Where the needles are few, as names
+    are, Spark broadcasts them and the stretches are not shuffled either.
     """
-    runs = F.regexp_extract_all("needle", F.lit(f"({_WORDS})"), 1)
-    keyed = wanted.select(
-        "owner",
-        "needle",
-        F.get(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), F.lit(0)).alias("token"),
-        needle_pattern(F.col("needle")).alias("pattern"),
-    )
-    low = texts.select("doc_id", F.lower("text").alias("text"))
-    found = low.select("doc_id", F.explode(F.array_distinct(F.split("text", _NO_WORDS))).alias("token"))
-    named = keyed.where(F.col("token").isNotNull())
-    # both uses below read the same shuffled candidates
-    candidates = settled(found.join(named, "token").repartition("doc_id"))
-    whole = F.col("needle") == F.col("token")
-    exact = candidates.where(whole).select("owner", "doc_id")
-    # plain containment first: it is much cheaper than a pattern that changes with every row
-    tested = candidates.where(~whole).join(low, "doc_id")
-    tested = tested.where(F.contains("text", "needle") & F.expr("rlike(text, pattern)"))
-    # needles without any word character stand between two words as a whole run of others
-    gaps = low.select("doc_id", F.explode(F.array_distinct(F.split("text", _WORDS))).alias("needle"))
-    signs = gaps.join(keyed.where(F.col("token").isNull()), "needle").join(low, "doc_id")
-    signs = signs.where(F.expr("rlike(text, pattern)"))
-    parts = [exact, tested.select("owner", "doc_id"), signs.select("owner", "doc_id")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    shapes = _token_shapes(wanted)
+    if not shapes:
+        return texts.select(F.lit(None).cast(wanted.schema["owner"].dataType).alias("owner"), "doc_id").where("false")
+    # settled: inside the lambdas below, the runs would be found again for every place
+    runs = settled(texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_RUNS), F.lit(0)).alias("runs")))
+    cut = runs.select("doc_id", F.explode(_stretches(F.col("runs"), shapes)).alias("needle"))
+    return cut.join(wanted.select("owner", "needle"), "needle").select("owner", "doc_id").distinct()
 
 
 def news_feed(docs: DataFrame, posts: DataFrame) -> DataFrame:

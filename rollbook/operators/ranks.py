@@ -4,13 +4,11 @@ windows over the whole table stay small; none of them is used on key-level rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.constants import ENRICHMENT_MIN_WORKING, GROWTH_MIN_START, OPPORTUNISM_MIN_ACQUIRED
-from rollbook.operators.rollup import opportunism, owner_inventory
 
 
 def rank_with_total(values: DataFrame, name: str) -> DataFrame:
@@ -38,30 +36,60 @@ def first_last(rollup: DataFrame) -> DataFrame:
     )
 
 
-def rank_inputs(
-    latest: DataFrame,
+#: The ranked measures, in the order of their columns.
+MEASURES = ("inv", "opp", "growth", "match", "age")
+
+
+def measures(
     rollup: DataFrame,
     enrichment: DataFrame,
     min_acquired: int = OPPORTUNISM_MIN_ACQUIRED,
     min_start: int = GROWTH_MIN_START,
     min_working: int = ENRICHMENT_MIN_WORKING,
-) -> dict[str, DataFrame]:
-    """The five ranked measures, each with its own rule of eligibility."""
-    grown = first_last(rollup).where(F.col("start_inventory") > min_start)
-    working = enrichment.where(F.col("working_count") > min_working)
-    return {
-        "inv": owner_inventory(latest).select("owner", F.col("inventory").alias("value")),
-        "opp": opportunism(rollup, min_acquired).select("owner", F.col("opportunism").alias("value")),
-        "growth": grown.select("owner", F.col("delta").alias("value")),
-        "match": working.select("owner", (F.col("match_count") / F.col("working_count")).alias("value")),
-        "age": working.select("owner", F.col("median_age_months").alias("value")),
+) -> DataFrame:
+    """(owner, metric, value) of the ranked measures, each with its own rule of eligibility.
+
+    Inventory, opportunism and growth come from one aggregation of the roll-up; the
+    inventory is that of the greatest period of all owners.
+    """
+    held = F.when(F.col("inventory") > 0, F.col("period"))
+    own = rollup.groupBy("owner").agg(
+        F.max("period").alias("last"),
+        F.max_by("inventory", "period").alias("inventory"),
+        F.sum("acquired").alias("acquired"),
+        F.sum("harvested_cross_owner").alias("harvested"),
+        F.min_by("inventory", held).alias("start"),
+        F.max_by("inventory", held).alias("end"),
+    )
+    newest = F.max("last").over(Window.partitionBy())  # a row per owner
+    own = own.withColumn("newest", newest)
+    both = own.join(enrichment.select("owner", "working_count", "match_count", "median_age_months"), "owner", "full")
+    enough = F.col("working_count") > min_working
+    values = {
+        "inv": F.when((F.col("last") == F.col("newest")) & (F.col("inventory") > 0), F.col("inventory")),
+        "opp": F.when(F.col("acquired") > min_acquired, F.col("harvested") / F.col("acquired")),
+        "growth": F.when(F.col("start") > min_start, F.col("end") - F.col("start")),
+        "match": F.when(enough, F.col("match_count") / F.col("working_count")),
+        "age": F.when(enough, F.col("median_age_months")),
     }
+    cells = F.array(*[F.struct(F.lit(n).alias("metric"), values[n].cast("double").alias("value")) for n in MEASURES])
+    return both.select("owner", F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
+
 
+def ranks(stacked: DataFrame, names: Sequence[str] = MEASURES) -> DataFrame:
+    """One row per owner that has any rank: rank and number of ranked owners by measure.
 
-def ranks(inputs: dict[str, DataFrame]) -> DataFrame:
-    """One row per owner that has any rank."""
-    ranked = [rank_with_total(values, name) for name, values in inputs.items()]
-    return reduce(lambda a, b: a.join(b, "owner", "full"), ranked)
+    The measures are stacked, so one window and one aggregation rank any number of them.
+    """
+    by_metric = Window.partitionBy("metric")
+    ranked = stacked.select(
+        "owner", "metric", F.rank().over(by_metric.orderBy(F.desc("value"))).alias("rank"), F.count("*").over(by_metric).alias("total")
+    )
+    cells = []
+    for n in names:
+        own = F.col("metric") == n
+        cells += [F.max(F.when(own, F.col("rank"))).alias(f"{n}_rank"), F.max(F.when(own, F.col("total"))).alias(f"{n}_total")]
+    return ranked.groupBy("owner").agg(*cells)
 
 
 def trajectory_leaders(rollup: DataFrame, min_start: int, k: int = 15) -> DataFrame:

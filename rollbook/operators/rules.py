@@ -2,10 +2,11 @@
 
 Rules given as Python tuples become one flat CASE that finds the first matching rule. Rules
 given as a table, of any number, are joined: a pattern is its mask (which positions are
-fixed) and its fixed characters, so each distinct text has one key per mask and meets the
-rules on equal keys; the first rule is the least number over all masks. Distinct masks are
-few by nature (at most two to the power of the pattern's length) and only those are
-collected. The exact overrides are joined by key.
+fixed) and its fixed characters, so a row has one key per mask, looks all of them up at once,
+and carries the least number found along. The rows are dealt by phone once, before the first
+pass; looking up and taking the least number leave them where they are, so the passes and the
+overrides follow without a further shuffle of rows. Distinct masks are few by nature (at most
+two to the power of the pattern's length) and only those are collected.
 """
 
 from __future__ import annotations
@@ -55,32 +56,27 @@ def _mask_key(text: Column, mask: str) -> Column:
 def first_rules(rows: DataFrame, rules: DataFrame, text: str, status: str | None = None) -> DataFrame:
     """The rows with the columns of the first rule that fits as struct `rule`, NULL if none does.
 
-    rules: rule_no, pattern and further columns. With a status column the rule's own `status`
-    has to be '*' or equal as well. Rows with one text are matched once.
+    rules: rule_no (unique), pattern and further columns. With a status column the rule's own
+    `status` has to be '*' or equal as well. Rows of one phone that are dealt by it stay
+    where they are, whatever their number; equal rows are counted and given back as often.
     """
     mask = F.regexp_replace("pattern", "[^*]", "#")
     asked = F.trim("status") if status else F.lit("*")
-    keyed = rules.select(
-        F.concat(mask, F.replace("pattern", F.lit("*"), F.lit("")), F.lit("|"), asked).alias("rule_key"),
-        "rule_no",
-        F.struct(*rules.columns).alias("rule"),
-    )
+    key = F.concat(mask, F.replace("pattern", F.lit("*"), F.lit("")), F.lit("|"), asked)
     # of the rules with one key only the first can ever fit
-    first = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("rule_key").orderBy("rule_no"))).where("nth = 1").drop("nth")
+    first = rules.groupBy(key.alias("rule_key")).agg(F.min("rule_no").alias("rule_no"))
     masks = [r[0] for r in rules.select(mask.alias("mask")).distinct().orderBy("mask").collect() if r[0] is not None]
-    own = [F.col(text).alias("rule_text")] + ([F.trim(status).alias("rule_status")] if status else [])
-    texts = rows.select(*own).distinct()
-    keys = [_mask_key(F.col("rule_text"), m) for m in masks]
-    endings = [F.lit("|*")] + ([F.concat(F.lit("|"), F.col("rule_status"))] if status else [])
+    keys = [_mask_key(F.col(text), m) for m in masks]
+    endings = [F.lit("|*")] + ([F.concat(F.lit("|"), F.trim(status))] if status else [])
     every = F.array_compact(F.array(F.lit(None).cast("string"), *[F.concat(k, e) for k in keys for e in endings]))
-    names = ["rule_text"] + (["rule_status"] if status else [])
-    met = texts.select(*names, F.explode(F.array_distinct(every)).alias("rule_key")).join(first, "rule_key")
-    nearest = Window.partitionBy(*names).orderBy("rule_no")
-    best = met.withColumn("nth", F.row_number().over(nearest)).where("nth = 1").select(*names, "rule")
-    condition = rows[text] == best["rule_text"]
-    if status:
-        condition = condition & (F.trim(rows[status]) == best["rule_status"])
-    return rows.join(best, condition, "left").drop(*names)
+    own = rows.columns
+    asking = rows.withColumn("rule_keys", every)
+    asking = asking.select(*own, F.greatest(F.size("rule_keys"), F.lit(1)).alias("asked"), F.explode_outer("rule_keys").alias("rule_key"))
+    # grouped by all columns, which the partitioning by phone already satisfies
+    met = asking.join(first, "rule_key", "left").groupBy(*own, "asked").agg(F.min("rule_no").alias("rule_no"), F.count("*").alias("n"))
+    copies = met.select(*own, "rule_no", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("n div asked"))).alias("copy"))
+    numbered = rules.select(F.col("rule_no").alias("own_no"), F.struct(*rules.columns).alias("rule"))
+    return copies.join(numbered, F.col("rule_no") == F.col("own_no"), "left").select(*own, "rule")
 
 
 def _replace(column: str, hit: Column, values: Sequence[str | None]) -> Column:
@@ -192,8 +188,12 @@ def adjust_snapshot(
     status_rules: Sequence[tuple] | DataFrame,
     overrides: DataFrame,
 ) -> DataFrame:
-    """All four passes in order; the owner is read from the final code."""
-    out = apply_phone_rules(rows, phone_rules)
+    """All four passes in order; the owner is read from the final code.
+
+    Rule tables are few against the rows, so Spark broadcasts what it measures to be small.
+    """
+    tables = any(isinstance(r, DataFrame) for r in (phone_rules, rename_rules, status_rules))
+    out = apply_phone_rules(rows.repartition("phone") if tables else rows, phone_rules)
     out = apply_rename_rules(out, rename_rules)
     out = apply_status_rules(out, status_rules)
     out = apply_overrides(out, overrides)

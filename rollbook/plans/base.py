@@ -18,6 +18,7 @@ from rollbook.functions.keys import suffix_text as wide_suffix
 from rollbook.operators.diff import period_index
 from rollbook.operators.directory import latest_version
 from rollbook.operators.rules import adjust_snapshot, gap_fill
+from rollbook.session import materialise
 from rollbook.sources.lines import parse_adjust_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,8 +133,9 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dated(spark: SparkSession, sf_dir: str, owner: str = "N", segment: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The snapshot table and its periods."""
-    return snapshot(spark, sf_dir, owner, segment), periods(spark, sf_dir)
+    """The snapshot table and its periods. These are read from the lines once and written: a
+    plan uses them more than once."""
+    return snapshot(spark, sf_dir, owner, segment), materialise(periods(spark, sf_dir), "periods")
 
 
 _SNAP = """

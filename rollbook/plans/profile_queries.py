@@ -50,7 +50,7 @@ li AS (SELECT owner, count(*) AS inventory FROM latest GROUP BY owner)"""
 def _(spark, d):
     """Six tables are read from the snapshots, so these are written once and shared."""
     rows, when = dated(spark, d)
-    rows, when = materialise(rows, "profile-snapshot"), materialise(when, "profile-periods")
+    rows = materialise(rows, "profile-snapshot")
     rolled = materialise(rollup.owner_period_rollup(rows, when), "profile-rollup")
     latest = rollup.latest_snapshot(rows, when)
     enriched = materialise(_enrichment(spark, d), "profile-enrichment")
@@ -59,7 +59,7 @@ def _(spark, d):
         rollup.owner_inventory(latest),
         directory.first_docs(docs),
         _hidden(spark, d),
-        ranks.ranks(ranks.rank_inputs(latest, rolled, enriched, 1000, 10, 500)),
+        ranks.ranks(ranks.measures(rolled, enriched, 1000, 10, 500)),
         ranks.owner_trajectory(rolled),
         enriched,
         flows.flow_totals(flows.flow_edges(rows, when)),

@@ -288,11 +288,6 @@ def _enrichment(spark, d):
     return words.enrichment(words.working_keys(key_ages(spark, d)), dictionary(spark, d))
 
 
-def _rank_inputs(spark, d):
-    latest = rollup.latest_snapshot(*dated(spark, d))
-    return ranks.rank_inputs(latest, _rollup(spark, d), _enrichment(spark, d), 1000, 10, 500)
-
-
 RANKS_SQL = f"""{ROLLUP_SQL},{AGES_SQL},{DICTIONARY_SQL},{MATCH_SQL},{LATEST_SQL}{ENDS_SQL},
 r1 AS (SELECT owner, rank() OVER (ORDER BY v DESC) AS inv_rank, count(*) OVER () AS inv_total FROM (SELECT owner, count(*) AS v FROM latest GROUP BY 1)),
 r2 AS (SELECT owner, rank() OVER (ORDER BY v DESC) AS opp_rank, count(*) OVER () AS opp_total FROM (SELECT owner,
@@ -305,7 +300,7 @@ RANKS_SELECT = """SELECT * FROM r1 FULL JOIN r2 USING (owner) FULL JOIN r3 USING
 
 @query("five_way_full_outer", with_snap(RANKS_SQL, RANKS_SELECT))
 def _(spark, d):
-    return ranks.ranks(_rank_inputs(spark, d))
+    return ranks.ranks(ranks.measures(_rollup(spark, d), _enrichment(spark, d), 1000, 10, 500))
 
 
 @query("rank_with_total", with_snap(RANKS_SQL, "SELECT * FROM r3"))

@@ -24,7 +24,7 @@ from rollbook.plans.base import (
     top_suffix,
     wide_suffix,
 )
-from rollbook.session import scratch_path
+from rollbook.session import materialise, scratch_path
 from rollbook.sources import lines, rule_files, sinks
 
 PASS_SQL = f"WITH{ADJ_INPUT_CTES},{cascade_sql('inp')}\n"
@@ -243,14 +243,19 @@ def _literal_lines(spark, rules):
 
 @query("adjust_from_files", f"WITH{ADJUSTED_CTES}\nSELECT * FROM adj")
 def _(spark, d):
-    """All four rule files are written as text, read, loaded and applied."""
-    phone = rule_files.load_phone_rules(_written(spark, _literal_lines(spark, PHONE_RULES), "phone-rules"))
-    rename = rule_files.load_rename_rules(_written(spark, _literal_lines(spark, RENAME_RULES), "rename-rules"))
-    status = rule_files.load_status_rules(_written(spark, _literal_lines(spark, STATUS_RULES), "status-rules"))
+    """All four rule files are written as text, read, loaded and applied. The loaded rules are
+    written once: the plan of the cascade reads them, not the files."""
+
+    def loaded(load, lines, name):
+        return materialise(load(_written(spark, lines, f"{name}-lines")), name)
+
+    phone = loaded(rule_files.load_phone_rules, _literal_lines(spark, PHONE_RULES), "phone-rules")
+    rename = loaded(rule_files.load_rename_rules, _literal_lines(spark, RENAME_RULES), "rename-rules")
+    status = loaded(rule_files.load_status_rules, _literal_lines(spark, STATUS_RULES), "status-rules")
     exact = overrides(spark, d).where("code <> ''").select(
         F.col("phone").cast("long").alias("line_no"), F.concat_ws(",", "phone", "code").alias("value")
     )
-    exact = rule_files.load_overrides(_written(spark, exact, "overrides"))
+    exact = loaded(rule_files.load_overrides, exact, "overrides")
     full = rules.gap_fill(adjust_input(spark, d), 0, top_suffix(spark, d), "key")
     return rules.adjust_snapshot(full, phone, rename, status, exact)
 

@@ -13,12 +13,13 @@ together again. Blocks lie within the partitions of the input: nothing is shuffl
 lost task makes the same rows again.
 
 Cases: a null or empty text is its end mark alone. Repeated rows are packed each by itself.
-An empty table gives no rows. Only the id and the text column are read.
+Pieces of one length are placed in the order of their rows. A text of any length and kind is
+encoded whole. An empty table gives no rows. Only the id and the text column are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.bpe import parse_ranks, read_ranks
+from rollbook.llm.bpe import codec, parse_ranks, read_ranks
 from rollbook.llm.common import importable, text_of
 
 WIDTH, END = 2048, 50256
@@ -102,6 +103,22 @@ def packed_block(ids: list[np.ndarray], docs: list, width: int, end: int) -> lis
     return out
 
 
+def _encoder(raw: bytes, pattern: str) -> Callable[[str], list[int]]:
+    """Encodes with the tiktoken library. Its pattern search gives up on very long runs of one
+    kind, as a million blanks; such a text is encoded by the codec of `bpe`, to the same ids."""
+    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(raw), special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast(text)
+        except BaseException as e:  # its panic is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+        return codec(raw, pattern).encode(text)  # kept by the worker once built
+
+    return encode
+
+
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, end: int = END, block: int = BLOCK) -> DataFrame:
     """The rows of all packed matrices, see the columns in `SCHEMA`."""
     spark = docs.sparkSession
@@ -109,7 +126,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     raw = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(raw.value), special_tokens={}).encode_ordinary
+        encode = _encoder(raw.value, pattern)
         context = TaskContext.get()
         part, number, held = context.partitionId() if context else 0, 0, 0
         ids: list[np.ndarray] = []

@@ -48,6 +48,14 @@ def test_ids_of_odd_rows(spark, plain):
     assert bpe.encode(odd.frame(spark, []), RANKS, PATTERN).count() == 0
 
 
+def test_packing_of_long_runs(spark):
+    text = " " * 1_000_000 + "x"
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), RANKS, PATTERN).collect()
+    ids = sorted((o, line) for r in rows for d, o, line in zip(r.doc_ids, r.doc_offsets, (np.frombuffer(r.ids, "<u2")[a:b] for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False)), strict=True) if d == 1)
+    whole = np.concatenate([line for _, line in ids]).tolist()
+    assert whole[-1] == packing.END and bpe.Codec(bpe.read_ranks(RANKS), PATTERN).decode(whole[:-1]).decode() == text
+
+
 def test_packing(spark, plain):
     rows = packing.pack(odd.frame(spark, extra=True), RANKS, PATTERN, width=64, block=2000).collect()
     parts = []

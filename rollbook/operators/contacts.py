@@ -17,10 +17,20 @@ CONTACT_SCHEMA = (
 
 
 def read_contacts_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Quoted CSV files; the declared schema makes the marked first header word harmless."""
-    return spark.read.csv(list(paths), schema=CONTACT_SCHEMA, header=True, enforceSchema=True, escape='"').select(
-        "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
-    )
+    """Quoted CSV files with line breaks inside quotes, in the order of their names.
+
+    The declared schema makes the marked first header word harmless. A record that does not fit
+    it keeps its text in `corrupt`. `row_no` counts up through the files and the records of each:
+    a record may span lines, so a file is read by one task from its start.
+    """
+    schema = f"{CONTACT_SCHEMA}, corrupt string"
+    read = spark.read.schema(schema).options(header=True, enforceSchema=True, escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt")
+    rows = read.csv(list(paths)).select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+    # a number per file; a file has far fewer records than 2^40
+    files = rows.select("path").distinct().select("path", F.row_number().over(Window.orderBy("path")).alias("file_no"))
+    first = rows.groupBy("path").agg(F.min("at").alias("first"))
+    placed = rows.join(F.broadcast(files.join(first, "path")), "path")
+    return placed.withColumn("row_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("at") - F.col("first")).drop("at", "first", "file_no")
 
 
 def parse_contact_lines(lines: DataFrame) -> DataFrame:

@@ -39,8 +39,10 @@ DOC_SCHEMA = T.StructType(
 
 
 def read_directory(spark, path: str) -> DataFrame:
-    """Documents from JSON files that each hold one array, with a declared schema."""
-    return spark.read.schema(DOC_SCHEMA).json(path, multiLine=True)
+    """Documents from JSON files that each hold one array, with a declared schema. A file that is
+    no JSON is one row with its text in `corrupt`."""
+    schema = T.StructType([*DOC_SCHEMA.fields, T.StructField("corrupt", T.StringType())])
+    return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt")
 
 
 def parse_directory(lines: DataFrame) -> DataFrame:

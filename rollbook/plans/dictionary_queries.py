@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.constants import SALABLE_STATUSES
+from rollbook.constants import SALABLE_STATUSES, SEGMENTS
 from rollbook.operators import dictionary as words
 from rollbook.plans.base import (
     ADJUSTED_CTES,
@@ -19,7 +19,7 @@ from rollbook.plans.base import (
     table,
     wide_suffix,
 )
-from rollbook.session import scratch_path
+from rollbook.session import materialise, scratch_path
 from rollbook.sources import sinks, tables
 
 CUR = f"WITH{CURRENT_SQL},{DICTIONARY_SQL}\n"
@@ -273,4 +273,24 @@ def _(spark, d):
     LOOKUP_SQL + "SELECT *, right(digit_number, 4) AS last4, right(digit_number, 5) AS last5, right(digit_number, 6) AS last6 FROM lk",
 )
 def _(spark, d):
-    return sinks.with_suffixes(words.lookup_table(adjusted(spark, d), dictionary(spark, d), "2026-05"))
+    path = scratch_path(spark, "lookup")
+    sinks.write_lookup(words.lookup_table(adjusted(spark, d), dictionary(spark, d), "2026-05"), path)
+    return spark.read.parquet(f"{path}/tail").drop("tail")
+
+
+#: Whole numbers of all segments, and suffixes of four, five and six digits.
+SEARCHED = [*[f"{s}0000{n:03d}" for s in SEGMENTS for n in (17, 96, 108)], "0012", "00123", "000077"]
+
+
+@query(
+    "lookup_search",
+    LOOKUP_SQL
+    + f"""SELECT *, right(digit_number, 4) AS last4, right(digit_number, 5) AS last5, right(digit_number, 6) AS last6 FROM lk
+    WHERE digit_number IN ({", ".join(f"'{w}'" for w in SEARCHED if len(w) == 10)}) OR right(digit_number, 4) = '0012'
+      OR right(digit_number, 5) = '00123' OR right(digit_number, 6) = '000077'""",
+)
+def _(spark, d):
+    """A table of two months, searched for one of them."""
+    path, rows = scratch_path(spark, "lookup"), materialise(words.lookup_table(adjusted(spark, d), dictionary(spark, d), "2026-05"), "month")
+    sinks.write_lookup(rows.unionByName(rows.withColumn("scan_month", F.lit("2026-04"))), path)
+    return sinks.search_lookup(spark, path, "2026-05", SEARCHED)

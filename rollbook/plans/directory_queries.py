@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollbook.constants import HIDDEN_SLUGS
@@ -28,6 +29,7 @@ from rollbook.plans.base import (
     with_snap,
 )
 from rollbook.plans.rank_queries import LATEST_SQL, MATCH_SQL, _enrichment, _rollup
+from rollbook.session import scratch_path
 
 DOCS = f"WITH{DOCS_SQL}\n"
 
@@ -45,10 +47,16 @@ def _hidden(spark, d):
     DOCS + "SELECT doc_no, _id, title, alias, code, slug, website, street1, city, len(categories) AS n_categories, len(groups) AS n_groups FROM docs",
 )
 def _(spark, d):
-    """Documents written as JSON text and read back with the declared schema."""
+    """Documents written as files of one JSON array each and read back with the declared schema."""
     docs = owner_docs(spark, d)
-    lines = docs.select(F.to_json(F.struct(*docs.columns)).alias("value"))
-    return directory.parse_directory(lines).select(
+    file_no = F.lpad(F.floor(F.col("doc_no") / 1000).cast("string"), 8, "0").alias("file_no")
+    body = docs.select(file_no, "doc_no", F.to_json(F.struct(*docs.columns)).alias("text"))
+    last = F.lead("doc_no").over(Window.partitionBy("file_no").orderBy("doc_no")).isNull()
+    head = F.when(F.row_number().over(Window.partitionBy("file_no").orderBy("doc_no")) == 1, "[").otherwise("")
+    lines = body.select("file_no", "doc_no", F.concat(head, F.col("text"), F.when(last, "]").otherwise(",")).alias("value"))
+    path = scratch_path(spark, "directory")
+    lines.repartition("file_no").sortWithinPartitions("file_no", "doc_no").select("file_no", "value").write.partitionBy("file_no").text(path)
+    return directory.read_directory(spark, f"{path}/*").where("corrupt is null").select(
         "doc_no",
         "_id",
         "title",

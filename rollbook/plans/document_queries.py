@@ -8,6 +8,7 @@ from rollbook.functions.text import STATE_CODES, brand_of, contact_struct, domai
 from rollbook.operators import contacts, directory, documents
 from rollbook.plans.base import DOCS_SQL, owner_docs, query, table
 from rollbook.plans.directory_queries import _published
+from rollbook.session import scratch_path
 
 DOCS = f"WITH{DOCS_SQL}\n"
 
@@ -32,7 +33,7 @@ ca AS (SELECT *, substr(code, 1, 3) AS admin_code,
 adm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY admin_code ORDER BY code, k DESC) AS rn FROM ca) WHERE rn = 1)"""
 
 
-def _contact_rows(spark, d):
+def _contact_rows(spark, d, notes='says "hi", ok'):
     k = F.col("c_custkey")
     n = (k % 900 + 100).cast("string")
     z = F.lpad((k % 10000).cast("string"), 4, "0")
@@ -68,7 +69,7 @@ def _contact_rows(spark, d):
         address,
         primary,
         F.lit("Dan P: 555-777-8888"),
-        F.lit('says "hi", ok'),
+        F.lit(notes),
     )
     quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]
     return table(spark, d, "customer").select(k.alias("row_no"), F.concat_ws(",", *quoted).alias("value"))
@@ -78,12 +79,28 @@ def _codes(spark, d):
     return contacts.admin_codes(contacts.parse_contact_lines(_contact_rows(spark, d)), "row_no")
 
 
+#: Contacts of a file, few enough for the task that reads it.
+CONTACTS_PER_FILE = 5000
+
+
+def _contact_files(spark, d):
+    """The contacts as CSV files with a byte order mark, a header and line breaks in quotes."""
+    rows = _contact_rows(spark, d, 'says "hi",\nok').withColumn("file_no", F.lpad(F.floor(F.col("row_no") / CONTACTS_PER_FILE).cast("string"), 8, "0"))
+    names = ",".join(f.split("`")[1] for f in contacts.CONTACT_SCHEMA.split(", "))
+    heads = rows.select("file_no").distinct().select(F.lit(-1).cast("long").alias("row_no"), F.lit("\ufeff" + names).alias("value"), "file_no")
+    path = scratch_path(spark, "contacts")
+    ordered = rows.unionByName(heads).repartition("file_no").sortWithinPartitions("file_no", "row_no").drop("row_no")
+    ordered.write.partitionBy("file_no").text(path)
+    return f"{path}/*"
+
+
 @query(
     "scan_contacts_csv",
-    f"WITH{CONTACT_ROWS_SQL}\nSELECT admin_code, owner, code, company_name, 'Dan P: 555-777-8888' AS change_raw, 'says \"hi\", ok' AS notes FROM adm",
+    f"WITH{CONTACT_ROWS_SQL}\nSELECT admin_code, owner, code, company_name, 'Dan P: 555-777-8888' AS change_raw, 'says \"hi\",' || chr(10) || 'ok' AS notes FROM adm",
 )
 def _(spark, d):
-    return _codes(spark, d).drop("address_raw", "primary_raw")
+    rows = contacts.read_contacts_csv(spark, _contact_files(spark, d)).where("corrupt is null")
+    return contacts.admin_codes(rows, "row_no").drop("address_raw", "primary_raw")
 
 
 @query("parse_address", f"WITH{CONTACT_ROWS_SQL}\nSELECT k, street, city, state, country, zip, company_phone AS phone FROM ca")

@@ -90,6 +90,14 @@ def _(spark, d):
     return adjusted(spark, d)
 
 
+def _exported(spark, rows, to_lines, name):
+    """The lines as they stand in the files of an export, in the order of the phones."""
+    path = scratch_path(spark, name)
+    # a line begins with its phone, so it is its own key
+    sinks.write_ordered_text(to_lines(rows), path, "value")
+    return sinks.read_ordered_text(spark, path).select("value")
+
+
 @query(
     "sink_fixed_width",
     f"""WITH{ADJUSTED_CTES}
@@ -97,7 +105,7 @@ SELECT substr(phone, 1, 3) || '-' || substr(phone, 4, 3) || '-' || substr(phone,
   || rpad(date, 8, ' ') || ',' || rpad(template, 2, ' ') || ',' || rpad(sub_owner, 5, ' ') AS value FROM adj""",
 )
 def _(spark, d):
-    return sinks.fixed_width_lines(adjusted(spark, d))
+    return _exported(spark, adjusted(spark, d), sinks.fixed_width_lines, "fixed")
 
 
 @query(
@@ -105,7 +113,7 @@ def _(spark, d):
     f"WITH{ADJUSTED_CTES}\nSELECT phone || ',' || status || ',' || date || ',' || template || ',' || sub_owner AS value FROM adj",
 )
 def _(spark, d):
-    return sinks.variable_lines(adjusted(spark, d))
+    return _exported(spark, adjusted(spark, d), sinks.variable_lines, "variable")
 
 
 # Ours are the adjusted rows, theirs the rows before the last pass, without the AVAIL rows of 888.

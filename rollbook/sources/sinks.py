@@ -119,18 +119,74 @@ def variable_lines(adjusted: DataFrame) -> DataFrame:
     return adjusted.select(F.concat_ws(",", *cells).alias("value"))
 
 
+LINE_END = "\r\n"
+
+
 def write_text(lines: DataFrame, path: str) -> None:
-    lines.write.option("lineSep", "\r\n").text(path)
+    lines.write.option("lineSep", LINE_END).text(path)
+
+
+def write_ordered_text(lines: DataFrame, path: str, key: str, files: int | None = None) -> None:
+    """Lines (key, value) as text files whose names are in the order of the key, and beside them
+    a manifest: lines, bytes and first and last line of every file."""
+    ranged = lines.repartitionByRange(files, key) if files else lines.repartitionByRange(key)
+    ranged.sortWithinPartitions(key, "value").select("value").write.option("lineSep", LINE_END).text(f"{path}/lines")
+    _file_counts(lines.sparkSession, path).write.parquet(f"{path}/manifest")
+
+
+def _file_counts(spark: SparkSession, path: str) -> DataFrame:
+    read = spark.read.option("lineSep", LINE_END).text(f"{path}/lines").select("value", F.col("_metadata.file_name").alias("file"))
+    return read.groupBy("file").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value") + len(LINE_END)).alias("bytes"), F.min("value").alias("least"), F.max("value").alias("greatest")
+    )
+
+
+def read_ordered_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of an export. Files that are missing, cut or not in the manifest are refused."""
+    held, told = _file_counts(spark, path), spark.read.parquet(f"{path}/manifest")
+    wrong = held.exceptAll(told).union(told.exceptAll(held))
+    names = [r["file"] for r in wrong.select("file").distinct().orderBy("file").limit(10).collect()]
+    if names:
+        raise ValueError(f"files differ from the manifest of {path}: {', '.join(names)}")
+    return spark.read.option("lineSep", LINE_END).text(f"{path}/lines").select(F.col("_metadata.file_name").alias("file"), "value")
+
+
+SUFFIXES = (4, 5, 6)
 
 
 def with_suffixes(lookup: DataFrame) -> DataFrame:
     """Last four, five and six digits beside the number, for searches by suffix."""
     number = F.col("digit_number")
-    return lookup.withColumns({f"last{n}": F.right(number, F.lit(n)) for n in (4, 5, 6)})
+    return lookup.withColumns({f"last{n}": F.right(number, F.lit(n)) for n in SUFFIXES})
 
 
 def write_lookup(lookup: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Lookup table by month, sorted by number for searches on the exact key."""
-    ready = with_suffixes(lookup).repartitionByRange("scan_month", "digit_number")
-    ready = ready.sortWithinPartitions("scan_month", "digit_number")
-    ready.write.mode(mode).option("compression", "zstd").partitionBy("scan_month").parquet(path)
+    """Lookup table by month in two layouts. `number` is sorted by the number and has Bloom filters
+    on it, for exact searches; `tail` is sorted by the number read backwards, so that all
+    numbers with one suffix stand together whatever its length."""
+    ready = with_suffixes(lookup).withColumn("tail", F.reverse("digit_number"))
+    for layout, column in (("number", "digit_number"), ("tail", "tail")):
+        keys = ("scan_month", column)
+        writer = ready.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).option("compression", "zstd")
+        writer = writer.option("parquet.bloom.filter.enabled#digit_number", str(layout == "number").lower())
+        writer.partitionBy("scan_month").parquet(f"{path}/{layout}")
+
+
+def search_lookup(spark: SparkSession, path: str, month: str, wanted: list[str]) -> DataFrame:
+    """Rows of a month whose number is one of `wanted`, or ends in one that has 4 to 6 digits.
+
+    Whole numbers are looked up in one layout, suffixes in the other; the month prunes
+    partitions, and numbers and suffixes reach the scan as filters on the sorted column.
+    """
+    numbers = [w for w in wanted if len(w) > max(SUFFIXES)]
+    tails = sorted({w[::-1] for w in wanted if len(w) in SUFFIXES})
+
+    def layout(name: str) -> DataFrame:
+        held = spark.read.parquet(f"{path}/{name}")
+        return held.withColumn("scan_month", F.col("scan_month").cast("string")).where(F.col("scan_month") == month)
+
+    ends = F.lit(False)
+    for tail in tails:
+        ends = ends | F.col("tail").startswith(tail)
+    exact = layout("number").where(F.col("digit_number").isin(numbers))
+    return exact.unionByName(layout("tail").where(ends & ~F.col("digit_number").isin(numbers))).drop("tail")

@@ -118,7 +118,7 @@ def test_text_sink_and_snapshot_sink(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "snap")).select("key", "period").collect()) == [(1, "2025-01"), (2, "2025-02")]
     look = spark.createDataFrame([("8002000123", "2026-05")], "digit_number string, scan_month string")
     sinks.write_lookup(look, str(tmp_path / "look"))
-    assert spark.read.parquet(str(tmp_path / "look")).first()["last4"] == "0123"
+    assert spark.read.parquet(str(tmp_path / "look" / "number")).first()["last4"] == "0123"
 
 
 def test_bucketed_table_needs_no_shuffle(spark):

@@ -264,9 +264,11 @@ def directory_gap(snapshot: DataFrame, docs: DataFrame, samples: int = 5) -> Dat
         .agg(*_status_counts())
     )
     names = ("inventory", "working", "transit", "disconn")
-    return codes.groupBy("owner").agg(
-        *[F.sum(n).alias(n) for n in names],
-        F.slice(F.sort_array(F.collect_set("sub_owner")), 1, samples).alias("sample_codes"),
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.asc_nulls_last("sub_owner")))
+    few = F.when(F.col("place") <= samples, F.col("sub_owner"))
+    # only the first codes of an owner are collected
+    return codes.withColumn("place", place).groupBy("owner").agg(
+        *[F.sum(n).alias(n) for n in names], F.sort_array(F.collect_list(few)).alias("sample_codes")
     )
 
 

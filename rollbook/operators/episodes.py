@@ -50,18 +50,25 @@ def history_timeline(snapshot: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("period")
     same = (F.lag("owner").over(w) == F.col("owner")) & (F.lag("status").over(w) == F.col("status"))
     marked = snapshot.withColumn("starts", (~F.coalesce(same, F.lit(False))).cast("int"))
-    parts = marked.withColumn(
-        "part", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    stretches = parts.groupBy("key", "part").agg(
-        F.min("period").alias("start_period"),
-        F.max("period").alias("end_period"),
-        F.first("owner").alias("owner"),
-        F.first("status").alias("status"),
-        F.min_by("sub_owner", "period").alias("sub_owner"),
-        F.min_by("changed_at", "period").alias("last_change"),
+    # only the first and the last row of a stretch go on; all windows share one order
+    borders = marked.select(
+        "*",
+        F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("part"),
+        (F.coalesce(F.lead("starts").over(w), F.lit(1)) == 1).alias("ends"),
+        F.lead("period").over(w).isNull().alias("newest"),
+    ).where((F.col("starts") == 1) | F.col("ends"))
+    closed = borders.select("*", F.lead("period").over(w).alias("next_period"), F.lead("newest").over(w).alias("next_newest"))
+    stretches = closed.where(F.col("starts") == 1).select(
+        "key",
+        "part",
+        F.col("period").alias("start_period"),
+        F.when(F.col("ends"), F.col("period")).otherwise(F.col("next_period")).alias("end_period"),
+        "owner",
+        "status",
+        "sub_owner",
+        F.col("changed_at").alias("last_change"),
+        F.when(F.col("ends"), F.col("newest")).otherwise(F.col("next_newest")).alias("is_current"),
     )
-    newest = F.max("part").over(Window.partitionBy("key"))
     return stretches.select(
         "key",
         "part",
@@ -71,5 +78,5 @@ def history_timeline(snapshot: DataFrame) -> DataFrame:
         "sub_owner",
         status_name(F.col("status")).alias("status"),
         "last_change",
-        (F.col("part") == newest).alias("is_current"),
+        "is_current",
     )

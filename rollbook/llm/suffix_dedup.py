@@ -104,12 +104,17 @@ def samples(data: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.nd
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id, the key of the text and its bytes.
+
+    The id has a name of its own: an alias that only repeats a name is taken out of some copies of
+    this plan and not of others, and the texts would be dealt once for each kind.
+    """
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *content_key(text), F.encode(text, "UTF-8").alias("data"))
+    return docs.select(F.col(id_col).cast("long").alias("own_id"), *content_key(text), F.encode(text, "UTF-8").alias("data"))
 
 
 def buckets_of(keyed: DataFrame, size: int, gram: int) -> DataFrame:
-    """(h, k1, k2, doc_id, n): the buckets a text has members in, and how many."""
+    """(h, k1, k2, own_id, n): the buckets a text has members in, and how many."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,13 +125,13 @@ def buckets_of(keyed: DataFrame, size: int, gram: int) -> DataFrame:
                 counts.append(count)
                 rows.append(np.full(len(found), n))
             take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            columns = [pa.array(np.concatenate(hashes)), *(batch.column(c).take(take) for c in ("k1", "k2", "doc_id")), pa.array(np.concatenate(counts))]
-            return pa.RecordBatch.from_arrays(columns, ["h", "k1", "k2", "doc_id", "n"])
+            columns = [pa.array(np.concatenate(hashes)), *(batch.column(c).take(take) for c in ("k1", "k2", "own_id")), pa.array(np.concatenate(counts))]
+            return pa.RecordBatch.from_arrays(columns, ["h", "k1", "k2", "own_id", "n"])
 
         return each
 
-    long_ = keyed.where(F.length("data") >= size).select("doc_id", "k1", "k2", "data")
-    return arrow_rows(long_, make, "h long, k1 long, k2 long, doc_id long, n long")
+    long_ = keyed.where(F.length("data") >= size).select("own_id", "k1", "k2", "data")
+    return arrow_rows(long_, make, "h long, k1 long, k2 long, own_id long, n long")
 
 
 def _contexts(size: int, gram: int):
@@ -137,7 +142,7 @@ def _contexts(size: int, gram: int):
             rows: list[tuple] = []
             held = 0
             for n in range(batch.num_rows):
-                if batch.column("doc_id")[n].as_py() != batch.column("chosen")[n].as_py():
+                if batch.column("own_id")[n].as_py() != batch.column("chosen")[n].as_py():
                     continue
                 key = batch.column("k1")[n].as_py(), batch.column("k2")[n].as_py()
                 data = batch.column("data")[n].as_py()
@@ -300,14 +305,14 @@ def duplicate_starts(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot:
     shared = written(counted.where(several).select("h", (F.col("c") > hot).alias("hot")), "shared")
     # of the copies of a text one is read
     cold, heated = (F.collect_set(F.when(c, F.col("h"))) for c in (~F.col("hot"), F.col("hot")))
-    member = found.select("h", "k1", "k2", "doc_id").join(shared, "h")
-    per_text = written(member.groupBy("k1", "k2").agg(cold.alias("cold"), heated.alias("heated"), F.min("doc_id").alias("chosen")), "members")
+    member = found.select("h", "k1", "k2", "own_id").join(shared, "h")
+    per_text = written(member.groupBy("k1", "k2").agg(cold.alias("cold"), heated.alias("heated"), F.min("own_id").alias("chosen")), "members")
 
     def contexts(buckets: str) -> DataFrame:
         # the texts are dealt as for the last join of `deduplicate`, so once for both: a
         # broadcast in one of the two would have them read and dealt again for the other
         wanted = per_text.where(F.size(buckets) > 0).select("k1", "k2", F.col(buckets).alias("hs"), "chosen")
-        return keyed.join(wanted.hint("merge"), ["k1", "k2"]).select("doc_id", "k1", "k2", "data", "hs", "chosen").mapInArrow(_contexts(size, gram), _CONTEXT_DDL)
+        return keyed.join(wanted.hint("merge"), ["k1", "k2"]).select("own_id", "k1", "k2", "data", "hs", "chosen").mapInArrow(_contexts(size, gram), _CONTEXT_DDL)
 
     dealt = contexts("cold").repartition("h").sortWithinPartitions("h")
     runs = dealt.mapInArrow(_sort_blocks(size, gram), "k1 long, k2 long, s long, e long")
@@ -355,10 +360,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())
-            out = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            out = [batch.column("own_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
             return pa.RecordBatch.from_arrays(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
         return each
 
-    joined = keyed.join(per_text.hint("merge"), ["k1", "k2"], "left").select("doc_id", "data", "runs")
+    joined = keyed.join(per_text.hint("merge"), ["k1", "k2"], "left").select("own_id", "data", "runs")
     return arrow_rows(joined, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.constants import DISC_NODE, DORMANT_MAX, META_SLUGS, SPARE_NODE, WORKING
+from rollbook.session import materialise
 
 _REF = T.ArrayType(T.StructType([T.StructField("_ref", T.StringType())]))
 DOC_SCHEMA = T.StructType(
@@ -552,29 +553,26 @@ def unique_slugs(rows: DataFrame, used: DataFrame) -> DataFrame:
     """(owner, slug) for rows (owner, base): in the order of owners, the first free one of the
     base, base-<owner>, base-3, base-4 and so on, given the slugs `used` (slug) already.
 
-    Each choice depends on all before it, so it is one fold. It holds an entry per owner
-    code, of which there are at most 1,296, and only the used slugs that can be in the way.
+    All owners ask for a slug at once. Of those that ask for one slug the first owner holds it,
+    unless it is used; the others ask for their next one, also an owner whose slug an earlier
+    one comes to ask for later. When nobody has to go on, every owner has what it would have
+    chosen in its turn. A round takes one window over the owners; of the used slugs only those
+    that can be in the way are read again.
     """
-    second = F.concat("base", F.lit("-"), F.lower("owner"))
-    wanted = rows.select(F.explode(F.array("base", second)).alias("stem")).distinct()
+    own = F.concat("base", F.lit("-"), F.lower("owner"))
+    wanted = rows.select(F.explode(F.array("base", own)).alias("stem")).distinct()
     stems = F.array_distinct(F.array("slug", F.regexp_replace("slug", "-[0-9]+$", "")))
-    near = used.select("slug", F.explode(stems).alias("stem")).join(wanted, "stem")
-    taken = F.coalesce(near.agg(F.collect_set("slug")).scalar(), F.array().cast("array<string>"))
-
-    def choose(acc: Column, row: Column) -> Column:
-        base, other = row["base"], F.concat(row["base"], F.lit("-"), F.lower(row["owner"]))
-        numbered = F.transform(F.sequence(F.lit(3), F.size(acc["taken"]) + 3), lambda n: F.concat(base, F.lit("-"), n.cast("string")))
-        slug = (
-            F.when(~F.array_contains(acc["taken"], base), base)
-            .when(~F.array_contains(acc["taken"], other), other)
-            .otherwise(F.get(F.array_except(numbered, acc["taken"]), F.lit(0)))
-        )
-        chosen = F.array(F.struct(row["owner"].alias("owner"), slug.alias("slug")))
-        return F.struct(F.concat(acc["taken"], F.array(slug)).alias("taken"), F.concat(acc["out"], chosen).alias("out"))
-
-    ordered = rows.agg(F.sort_array(F.collect_list(F.struct("owner", "base"))).alias("rows")).withColumn("taken", taken)
-    start = F.struct(F.col("taken").alias("taken"), F.expr("cast(array() as array<struct<owner:string,slug:string>>)").alias("out"))
-    return ordered.select(F.inline(F.aggregate("rows", start, choose, lambda acc: acc["out"])))
+    near = used.select("slug", F.explode(stems).alias("stem")).join(wanted, "stem", "left_semi")
+    near = materialise(near.select("slug", F.lit(True).alias("held")).distinct(), "used-slugs")
+    slug = F.when(F.col("n") == 1, F.col("base")).when(F.col("n") == 2, own).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
+    asking = rows.select("owner", "base", F.lit(1).alias("n"), F.lit(True).alias("lost"))
+    first = Window.partitionBy("slug").orderBy("owner")
+    while True:
+        judged = asking.withColumn("slug", slug).withColumn("place", F.row_number().over(first)).join(near, "slug", "left")
+        lost = (F.col("place") > 1) | F.coalesce("held", F.lit(False))
+        asking = materialise(judged.select("owner", "base", (F.col("n") + lost.cast("int")).alias("n"), lost.alias("lost")), "slugs")
+        if asking.where("lost").isEmpty():
+            return asking.select("owner", slug.alias("slug"))
 
 
 def stub_owners(contacts: DataFrame, docs: DataFrame, state_codes: dict[str, str]) -> DataFrame:

@@ -73,15 +73,20 @@ def mention_search(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def news_feed(docs: DataFrame, posts: DataFrame) -> DataFrame:
-    """Company news of all owners and own articles in one list, newest first, undated last."""
+    """Company news of all owners and own articles in one list, newest first, undated last.
+
+    News name their source and their owner, articles their slug and their own address.
+    """
     from rollbook.operators.directory import base_id
 
-    clean = {n: F.trim(F.coalesce(F.col(f"n.{n}"), F.lit(""))) for n in ("date", "title", "snippet")}
+    names = {"date": "date", "title": "title", "snippet": "snippet", "source_domain": "sourceDomain", "source_url": "sourceUrl"}
+    clean = {n: F.trim(F.coalesce(F.col(f"n.{field}"), F.lit(""))) for n, field in names.items()}
+    none = F.lit(None).cast("string")
     owner = F.substring(F.upper(F.trim("code")), 1, 2)
     company = (
-        docs.select(owner.alias("owner"), F.explode("recentNews").alias("n"))
+        docs.select(owner.alias("owner"), F.col("title").alias("owner_title"), F.explode("recentNews").alias("n"))
         .where(F.coalesce("owner", F.lit("")) != "")
-        .select(F.lit("company-news").alias("kind"), *[c.alias(n) for n, c in clean.items()], "owner")
+        .select(F.lit("company-news").alias("kind"), *[c.alias(n) for n, c in clean.items()], "owner", "owner_title", none.alias("article_slug"))
     )
     article = posts.where(
         base_id(F.col("_id")).startswith("draft-article-")
@@ -92,7 +97,11 @@ def news_feed(docs: DataFrame, posts: DataFrame) -> DataFrame:
         F.substring(F.coalesce("published_at", "updated_at", "created_at", F.lit("")), 1, 10).alias("date"),
         F.trim(F.coalesce("title", F.lit(""))).alias("title"),
         F.trim(F.coalesce("excerpt", F.lit(""))).alias("snippet"),
-        F.lit(None).cast("string").alias("owner"),
+        none.alias("source_domain"),
+        F.concat(F.lit("/article/"), F.trim("slug")).alias("source_url"),
+        none.alias("owner"),
+        none.alias("owner_title"),
+        F.trim("slug").alias("article_slug"),
     )
     undated = F.when(F.col("date") == "", "0000-00-00").otherwise(F.col("date"))
     return company.unionByName(article).orderBy(F.desc(undated), "kind", "title")

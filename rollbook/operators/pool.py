@@ -149,6 +149,12 @@ def missed_forecasts(forecasts: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def latest_forecasts(forecasts: DataFrame) -> DataFrame:
+    """The forecasts of the newest week, by horizon; dated or not."""
+    known = forecasts.where(F.col("week_ending").isNotNull())
+    return latest_week(known).select("week_ending", "horizon_months", "predicted_exhaust_date").orderBy("horizon_months")
+
+
 def forecast_fan(forecasts: DataFrame) -> DataFrame:
     """Dated forecasts by horizon and week."""
     dated = forecasts.where(F.col("week_ending").isNotNull() & F.col("predicted_exhaust_date").isNotNull())

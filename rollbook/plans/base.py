@@ -468,8 +468,13 @@ def doc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("2024-0"), (k % 9 + 1).cast("string"), F.lit("-15")).alias("date"),
                     F.concat(F.lit(" News "), ks).alias("title"),
                     F.lit("text").alias("snippet"),
+                    F.lit(" d.example").alias("sourceDomain"),
+                    F.concat(F.lit("https://d.example/"), ks).alias("sourceUrl"),
+                ),
+                F.struct(
+                    F.lit(None).cast("string").alias("date"), F.concat(F.lit("Old "), ks).alias("title"), F.lit("").alias("snippet"),
+                    F.lit(None).cast("string").alias("sourceDomain"), F.lit(None).cast("string").alias("sourceUrl"),
                 ),
-                F.struct(F.lit(None).cast("string").alias("date"), F.concat(F.lit("Old "), ks).alias("title"), F.lit("").alias("snippet")),
             ),
         ).alias("recentNews"),
     ]

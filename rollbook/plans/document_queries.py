@@ -316,10 +316,12 @@ def _(spark, d):
     "news_feed",
     DOCS.rstrip()
     + """
-SELECT 'company-news' AS kind, unnest(['2024-0' || (doc_no % 9 + 1) || '-15', '']) AS date, unnest(['News ' || doc_no, 'Old ' || doc_no]) AS title, unnest(['text', '']) AS snippet, owner
+SELECT 'company-news' AS kind, unnest(['2024-0' || (doc_no % 9 + 1) || '-15', '']) AS date, unnest(['News ' || doc_no, 'Old ' || doc_no]) AS title, unnest(['text', '']) AS snippet,
+  unnest(['d.example', '']) AS source_domain, unnest(['https://d.example/' || doc_no, '']) AS source_url, owner, title AS owner_title, CAST(NULL AS VARCHAR) AS article_slug
 FROM docs WHERE doc_no % 10 = 0
 UNION ALL
-SELECT 'article', CASE WHEN n_chars % 5 = 0 THEN '' ELSE '2023-0' || (n_chars % 9 + 1) || '-01' END, 'Article ' || doc_id, source, NULL FROM documents
+SELECT 'article', CASE WHEN n_chars % 5 = 0 THEN '' ELSE '2023-0' || (n_chars % 9 + 1) || '-01' END, 'Article ' || doc_id, source, NULL,
+  '/article/a-' || doc_id, NULL, NULL, 'a-' || doc_id FROM documents
 WHERE doc_id % 3 < 2 AND NOT lang = 'fr' AND n_chars % 11 <> 0""",
 )
 def _(spark, d):

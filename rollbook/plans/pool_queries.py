@@ -102,6 +102,16 @@ def _(spark, d):
     return pool.missed_forecasts(_forecasts(spark, d), F.lit("2024-01-20").cast("date"))
 
 
+@query(
+    "latest_forecasts",
+    f"""WITH{POOL_SQL}
+SELECT CAST(week_ending AS VARCHAR) AS week_ending, horizon_months, CAST(predicted_exhaust_date AS VARCHAR) AS predicted_exhaust_date FROM fore
+WHERE week_ending = (SELECT max(week_ending) FROM fore)""",
+)
+def _(spark, d):
+    return pool.latest_forecasts(_forecasts(spark, d))
+
+
 @query(
     "forecast_fan",
     f"WITH{POOL_SQL}\nSELECT CAST(week_ending AS VARCHAR) AS week_ending, horizon_months, CAST(predicted_exhaust_date AS VARCHAR) AS predicted_exhaust_date FROM fore WHERE predicted_exhaust_date IS NOT NULL",

@@ -47,6 +47,13 @@ BRANDS = [
 ]
 
 
+# Forms of telephone numbers, postal codes, mail addresses and marked numbers.
+PHONE_END = r"(\d{3}-\d{3}-\d{4}|\d{10})\s*$"
+ZIP_END = r"\s+([A-Z]?\d{5}(?:-?\d{4})?|[A-Z]\d[A-Z]\s?\d[A-Z]\d)\s*$"
+MAIL = r"\b([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b"
+MARKED_PHONE, MARKED_FAX = r"P:\s*([\w\-\. ]+?)(?=F:|$)", r"F:\s*([\w\-\. ]+)$"
+
+
 def stripped(text: Column) -> Column:
     """Without blanks and line breaks at both ends."""
     return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
@@ -70,8 +77,8 @@ def split_address(df, column: str):
         return frame.withColumns({name: got, "rest": left})
 
     out = df.withColumn("rest", stripped(F.coalesce(F.col(column), empty)))
-    out = peel(out, "phone", r"(\d{3}-\d{3}-\d{4}|\d{10})\s*$")
-    out = peel(out, "zip", r"\s+([A-Z]?\d{5}(?:-?\d{4})?|[A-Z]\d[A-Z]\s?\d[A-Z]\d)\s*$")
+    out = peel(out, "phone", PHONE_END)
+    out = peel(out, "zip", ZIP_END)
     out = peel(out, "country", r"(?s),([^,]*)$")
     out = out.withColumn("country", stripped(F.col("country")))
     out = peel(out, "named_state", rf" ({states})$")
@@ -97,16 +104,15 @@ def split_address(df, column: str):
 def contact_struct(text: Column) -> Column:
     """Name, email, phone after P: and fax after F: from one string."""
     s = stripped(F.coalesce(text, F.lit("")))
-    mail = r"\b([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})\b"
-    email = F.regexp_extract(s, mail, 1)
+    email = F.regexp_extract(s, MAIL, 1)
     has = email != ""
-    rest = F.when(has, stripped(F.regexp_replace(s, rf"(?s)^.*?{mail}", ""))).otherwise(s)
-    before = stripped(F.regexp_extract(s, rf"(?s)^(.*?){mail}", 1))
+    rest = F.when(has, stripped(F.regexp_replace(s, rf"(?s)^.*?{MAIL}", ""))).otherwise(s)
+    before = stripped(F.regexp_extract(s, rf"(?s)^(.*?){MAIL}", 1))
     return F.struct(
         F.when(has, before).otherwise(rest).alias("name"),
         email.alias("email"),
-        stripped(F.regexp_extract(rest, r"P:\s*([\w\-\. ]+?)(?=F:|$)", 1)).alias("phone"),
-        stripped(F.regexp_extract(rest, r"F:\s*([\w\-\. ]+)$", 1)).alias("fax"),
+        stripped(F.regexp_extract(rest, MARKED_PHONE, 1)).alias("phone"),
+        stripped(F.regexp_extract(rest, MARKED_FAX, 1)).alias("fax"),
     )
 
 

@@ -16,6 +16,9 @@ STOP_NAMES = (
     "regional phone company",
 )
 
+# Faults between the fields of a payload, each replaced by a comma.
+PAYLOAD_FAULTS = (r',\s*"[^"]*"\s*,', r',\s*""\s*,', r",\s*,")
+
 # Runs of word characters, and runs of other characters.
 _WORDS = r"[\p{L}\p{N}_]+"
 _RUNS = rf"{_WORDS}|[^\p{{L}}\p{{N}}_]+"
@@ -136,9 +139,9 @@ def without_fence(content: Column) -> Column:
 
 def repaired(text: Column) -> Column:
     """Lone strings and doubled commas between fields taken out."""
-    out = F.regexp_replace(text, r',\s*"[^"]*"\s*,', ",")
-    out = F.regexp_replace(out, r',\s*""\s*,', ",")
-    return F.regexp_replace(out, r",\s*,", ",")
+    for fault in PAYLOAD_FAULTS:
+        text = F.regexp_replace(text, fault, ",")
+    return text
 
 
 def parse_payload(rows: DataFrame, column: str) -> DataFrame:

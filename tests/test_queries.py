@@ -22,6 +22,8 @@ CHOSEN = (
     "topk_per_category", "age_buckets", "adjust_snapshot", "vendor_inventory", "validation_diff", "load_rules", "encode_snapshot",
     "filename_to_month", "category_trajectory", "directory_search", "contact_table", "mailbox_flags", "mention_search",
     "news_payload_normalise", "report_lines", "stacked_series", "key_status_card",
+    "watch_alerts", "watch_windows", "incremental_rollup", "pair_totals_bucketed", "lookup_search", "adjust_from_files",
+    "scan_contacts_csv", "scan_directory_json", "sink_fixed_width", "latest_forecasts", "news_feed", "stub_owners",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

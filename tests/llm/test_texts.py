@@ -162,7 +162,7 @@ def test_style_tree_learns_branches(spark):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, plain):
